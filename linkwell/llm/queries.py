@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import media, mixing, sharding
+from linkwell.llm import jaccard, media, mixing, sharding
 from linkwell.llm.runtime import documents
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     store = sharding.shard(docs)
@@ -70,5 +74,5 @@ WITH docs AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op8_media_columns, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_sharding, op8_media_columns, op10_mixing)}
 ORACLES: dict[str, str] = {"op10_mixing": ORACLE_MIXING}
