@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import jaccard, media, mixing, sharding
+from linkwell.llm import jaccard, media, mixing, repeats, sharding
 from linkwell.llm.runtime import documents
 
 
@@ -20,6 +20,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col(sharding.SHARD).alias("shard"), F.col("lw_rows").alias("shard_rows"), F.col("lw_tier").alias("tier"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(documents(spark, sf_dir), with_text=False).drop("kept")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
@@ -74,5 +78,5 @@ WITH docs AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_sharding, op8_media_columns, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_sharding, op7_suffix_array_dedup, op8_media_columns, op10_mixing)}
 ORACLES: dict[str, str] = {"op10_mixing": ORACLE_MIXING}
