@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import jaccard, media, mixing, repeats, sharding
+from linkwell.llm import jaccard, language, media, mixing, quality, repeats, sharding
 from linkwell.llm.runtime import documents
 
 
@@ -13,6 +13,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     store = sharding.shard(docs)
@@ -20,6 +25,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col(sharding.SHARD).alias("shard"), F.col("lw_rows").alias("shard_rows"), F.col("lw_tier").alias("tier"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(documents(spark, sf_dir), with_text=False).drop("kept")
 
@@ -78,5 +87,16 @@ WITH docs AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_sharding, op7_suffix_array_dedup, op8_media_columns, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_quality_classifier,
+        op4_sharding,
+        op5_language_id,
+        op7_suffix_array_dedup,
+        op8_media_columns,
+        op10_mixing,
+    )
+}
 ORACLES: dict[str, str] = {"op10_mixing": ORACLE_MIXING}
