@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import jaccard, language, media, mixing, quality, repeats, sharding
+from linkwell.llm import decontaminate, jaccard, language, media, mixing, quality, repeats, secrets, sharding
 from linkwell.llm.runtime import documents
 
 
@@ -18,6 +18,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     store = sharding.shard(docs)
@@ -37,6 +41,11 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("row_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, totals = mixing.mix(documents(spark, sf_dir))
     return totals.select("doc_id", "size", "source_size", "target", "taken")
@@ -92,10 +101,12 @@ QUERIES = {
     for f in (
         op1_ngram_jaccard_join,
         op2_quality_classifier,
+        op3_secret_scans,
         op4_sharding,
         op5_language_id,
         op7_suffix_array_dedup,
         op8_media_columns,
+        op9_benchmark_decontamination,
         op10_mixing,
     )
 }
