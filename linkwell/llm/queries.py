@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwell.llm import decontaminate, jaccard, language, media, mixing, quality, repeats, secrets, sharding
+from linkwell.llm import decontaminate, jaccard, language, licences, media, mixing, quality, repeats, secrets, sharding
 from linkwell.llm.runtime import documents
 
 
@@ -33,6 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op6_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir)).drop("row_id", "body")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(documents(spark, sf_dir), with_text=False).drop("kept")
 
@@ -104,6 +108,7 @@ QUERIES = {
         op3_secret_scans,
         op4_sharding,
         op5_language_id,
+        op6_licence_scans,
         op7_suffix_array_dedup,
         op8_media_columns,
         op9_benchmark_decontamination,
