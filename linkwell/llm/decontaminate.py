@@ -122,5 +122,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCO
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap with an item."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("lw_bad")).distinct()
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("lw_bad")).distinct().hint("shuffle_hash")
     return docs.join(bad, docs.doc_id.eqNullSafe(bad.lw_bad), "left_anti")

@@ -231,3 +231,23 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("has_letter"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(work, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
+    """``docs`` without the rows that are ``und`` or score below ``least_score``: one pass, no shuffle."""
+    import pyarrow as pa
+
+    windows, labels, languages = sample_windows(docs)
+    if not languages:
+        return docs.where(F.lit(False))
+    model = train(windows, labels, languages)
+    at = docs.columns.index("text")
+
+    def work(batches):
+        for batch in batches:
+            data, offsets = buffers(batch.column(at))
+            if len(batch):
+                keep = row_probabilities(model, data, offsets).max(axis=1) >= least_score
+                yield batch.filter(pa.array(keep))
+
+    return docs.where(F.col("text").rlike("\\p{L}")).mapInArrow(work, docs.schema)

@@ -160,6 +160,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     # one row per doc_id: equal rows share their takes in turn
     times = totals.groupBy("doc_id").agg(F.sum(times).alias("times"), F.count("*").alias("same"))
-    numbered = docs.join(times.where("times > 0").withColumnsRenamed({"doc_id": "m_id", "times": "m_times", "same": "m_same"}), F.col("doc_id") == F.col("m_id"))
+    times = written(times.where("times > 0"), "mix-times").withColumnsRenamed({"doc_id": "m_id", "times": "m_times", "same": "m_same"})
+    taken = docs.join(times.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("m_id")))
     each = F.ceil(F.col("m_times") / F.col("m_same")).cast("int")
-    return numbered.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), each)).alias("m_copy")).drop("m_copy")
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), each)).alias("m_copy")).drop("m_copy")
