@@ -113,18 +113,32 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int):
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes by their first ``depth`` symbols at least, by prefix doubling.
 
-    Zeros end a piece of text; each is a symbol of its own, less than all bytes.
+    Zeros end a piece of text; each is a symbol of its own, less than all bytes. Symbols
+    are below 512: seven fit one key.
     """
-    n = len(text)
+    n, k = len(text), 7
     ends = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    k = 1
+    piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
+    left = ends[piece] - np.arange(n)  # symbols before the piece's end
+    wide = np.concatenate([text.astype(np.int64), np.zeros(k, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(k):
+        key = key * 512 + np.where(left >= i, wide[i : n + i], 0)
+    # suffixes that end within the key differ by their ends: these sort first among equals
+    order = np.argsort(key)
+    rank = np.empty(n, np.int64)
+    sorted_key = key[order]
+    rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+    short = left < k
     while True:
         second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
+        second[: max(0, n - k)] = rank[k:]
+        second += len(ends)
+        if short is not None:
+            second = np.where(short, piece, second)
+            short = None
         key = rank * (int(second.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.zeros(n, np.int64)
         np.cumsum(sorted_key[1:] != sorted_key[:-1], out=new[1:])
@@ -142,6 +156,7 @@ def repeated_starts(text: np.ndarray, least: int) -> np.ndarray:
     n = len(text)
     order = suffix_array(text, least)
     bwt = text[order - 1]
+    first = text[order]
     # the suffix one symbol longer than that of rank i has rank longer[i]
     longer = np.empty(n, np.int64)
     longer[np.argsort(bwt, kind="stable")] = np.arange(n)
@@ -156,22 +171,35 @@ def repeated_starts(text: np.ndarray, least: int) -> np.ndarray:
     lows = np.concatenate([np.arange(pieces), upper[symbols] - counts[symbols]])
     highs = np.concatenate([np.arange(pieces), upper[symbols] - 1])
     unset[highs + 1] = False
+    owner = np.empty(n, np.int64)
     for _ in range(1, least):
         sizes = highs - lows + 1
         if not len(sizes):
             break
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        at = np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lows, sizes)
-        symbol, to = bwt[at], longer[at]
-        inner = symbol > 0
-        group, to, symbol = group[inner], to[inner], symbol[inner]
-        by = np.lexsort((to, group))
-        group, to, symbol = group[by], to[by], symbol[by]
-        new = np.ones(len(to), bool)
-        new[1:] = (group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1])
-        firsts = np.flatnonzero(new)
-        lows = to[firsts]
-        highs = to[np.append(firsts[1:], len(to)) - 1] if len(firsts) else lows
+        many = int(sizes.sum())
+        if many == len(sizes):
+            to = longer[lows]
+            group = np.arange(many)
+        else:
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            to = longer[np.arange(many) + np.repeat(lows - np.cumsum(sizes) + sizes, sizes)]
+        # in the order of the longer strings' ranks, those of one symbol and one interval are neighbours
+        if many > n // 16:
+            owner[:] = -1
+            owner[to] = group
+            to = np.flatnonzero(owner >= 0)
+            group = owner[to]
+        else:
+            by = np.argsort(to)
+            to, group = to[by], group[by]
+        at = np.searchsorted(to, pieces)  # what ends a piece is not extended over
+        to, group = to[at:], group[at:]
+        if not len(to):
+            break
+        symbol = first[to]
+        edge = np.flatnonzero((group[1:] != group[:-1]) | (symbol[1:] != symbol[:-1]))
+        lows = to[np.append(0, edge + 1)]
+        highs = to[np.append(edge, len(to) - 1)]
         open_ = unset[highs + 1]
         lows, highs = lows[open_], highs[open_]
         unset[highs + 1] = False
@@ -256,6 +284,8 @@ def _searched(least: int):
         held, size = [], 0
         for batch in batches:
             for x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and x[:4] == held[-1][:4]:  # a row given more than once
+                    continue
                 if size > BATCH and x[3] != held[-1][3]:
                     yield from search(held)
                     held, size = [], 0
@@ -293,7 +323,7 @@ def removed_ranges(docs: DataFrame, least: int = 400) -> DataFrame:
         return rows.select("doc_id", "key", "text", "wanted")
 
     bodies = texts("NOT hot").mapInArrow(_fetched(least, False), "doc_id long, key long, start long, anchor long, n long, body binary")
-    bodies = bodies.dropDuplicates(["doc_id", "key", "start", "anchor"]).repartition("anchor").sortWithinPartitions("anchor")
+    bodies = bodies.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "start")
     partly = bodies.mapInArrow(_searched(least), "doc_id long, key long, start long, stop long")
     found = written(ranges.unionByName(partly), "repeat-ranges")
     release(docs.sparkSession)
