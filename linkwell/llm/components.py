@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwell.llm.runtime import written
+from linkwell.llm.runtime import discard, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "small-star")
+        done, edges = edges, written(small.where("u <> v").distinct(), "small-star")
+        discard(done, large)
         previous, mark = mark, _mark(edges)
         if mark == previous:
             break

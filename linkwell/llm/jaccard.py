@@ -14,6 +14,7 @@
    overlap that is left is too small, and all sets of the same component.
 5. A parity bitmap per set (width in proportion to its size) bounds the symmetric
    difference from below and drops most false pairs; the others are verified on full sets.
+   Only texts that a bit array of fixed size lets through are made into sets again.
 
 Copies and near copies in any number stay linear: pairs within a component are never
 listed. No text, set, link or component reaches the driver; the sketch (8 MB) does.
@@ -33,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwell.llm.components import components
-from linkwell.llm.runtime import release, written
+from linkwell.llm.runtime import discard, release, written
 from linkwell.llm.shingles import buffers, chunks, shingle_sets
 
 SKETCH_BITS = 21
 SKETCH_PARTS = 32
+FILTER_BITS = 23
 SEEN = 50_000  # classes a task remembers, to list copies once
 
 
@@ -177,7 +179,7 @@ def _lists(batches):
 
 
 def _bitmap_filter(percent: int):
-    """(a, b, na, nb, bits_a, bits_b) -> (a, b) of the pairs that may reach the similarity."""
+    """(a, b, n_a, n_b, bits_a, bits_b, sig_a, sig_b) -> (a, b, sig_a, sig_b) of the pairs that may reach the similarity."""
     import pyarrow as pa
 
     def work(batches):
@@ -188,7 +190,7 @@ def _bitmap_filter(percent: int):
             differ = np.array([_differ_at_least(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
             keep = differ <= most
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+                yield batch.select(["a", "b", "sig_a", "sig_b"]).filter(pa.array(keep))
 
     return work
 
@@ -244,39 +246,75 @@ def _across(percent: int):
     return work
 
 
+def _filter_places(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _id_filter(ids: DataFrame) -> bytes:
+    """A bit array of fixed size in which the places of all ids are set; others may be too."""
+    import pyarrow as pa
+
+    def work(batches):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[_filter_places(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    def merge(batches):
+        total = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+        for batch in batches:
+            for x in batch.column(1):
+                total |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "bits"])
+
+    schema = "part int, bits binary"
+    total = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for r in ids.mapInArrow(work, schema).repartition(8).mapInArrow(merge, schema).toLocalIterator():
+        total |= np.frombuffer(bytes(r.bits), np.uint8)
+    return total.tobytes()
+
+
 def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose full sets reach the similarity, as edges (u, v)."""
     import pyarrow as pa
 
-    side = lambda x: info.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
-    pairs = written(pairs.mapInArrow(_bitmap_filter(percent), "a long, b long"), "jaccard-pairs")
+    spark = docs.sparkSession
+    side = lambda x: info.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "bits")])
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "sig_a", "sig_b")
+    pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = written(pairs.mapInArrow(_bitmap_filter(percent), "a long, b long, sig_a binary, sig_b binary"), "jaccard-pairs")
     need = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
-    need = need.join(info, need.need == info.doc_id).select("need", "sig")
+    needed = spark.sparkContext.broadcast(_id_filter(need))
 
     def sets(batches):
+        bits = np.frombuffer(needed.value, np.uint8)
         for batch in batches:
+            at = _filter_places(batch.column(0).to_numpy(zero_copy_only=False))
+            batch = batch.take(pa.array(np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
             data, offsets = buffers(batch.column(1))
-            ids, out, row = [], [], 0
+            out, sig = [], []
             for i, j in chunks(offsets):
                 for h in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
-                    if hashlib.blake2b(h.tobytes(), digest_size=16).digest() == batch.column(2)[row].as_py():
-                        ids.append(batch.column(0)[row].as_py())
-                        out.append(h.view(np.int64))
-                    row += 1
+                    out.append(h.view(np.int64))
+                    sig.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
             lengths = np.cumsum([0, *map(len, out)]).astype(np.int32)
             values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), values)], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), values)], names=["id", "sig", "items"])
 
-    texts = docs.join(need, docs.doc_id == need.need).select("doc_id", "text", "sig")
-    found = texts.mapInArrow(sets, "id long, items array<long>").dropDuplicates(["id"])
+    found = docs.where("doc_id IS NOT NULL").mapInArrow(sets, "id long, sig binary, items array<long>")
     found = written(found, "jaccard-sets", "lz4")
-    release(docs.sparkSession)
-    side = lambda x: found.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    if not found.groupBy("id").count().where("count > 1").isEmpty():  # rows given more than once
+        repeated, found = found, written(found.dropDuplicates(["id", "sig"]), "jaccard-sets-once", "lz4")
+        discard(repeated)
+    release(spark)
+    side = lambda x: found.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("items").alias(f"items_{x}"))
+    both = pairs.join(side("a"), ["a", "sig_a"]).join(side("b"), ["b", "sig_b"])
     shared = F.size(F.array_intersect("items_a", "items_b"))
     both = both.withColumn("shared", shared).withColumn("joint", F.size("items_a") + F.size("items_b") - F.col("shared"))
-    return written(both.where(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+    links = written(both.where(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+    discard(found, pairs)
+    release(spark)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -316,11 +354,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     labels = written(labels, "jaccard-labels")
     labelled = lists.select("token", "doc_id", "size", "pos").join(labels, "doc_id").select("token", "rep", "size", "pos", "component").distinct()
     labelled = written(labelled, "jaccard-labelled")
+    discard(lists)
+    release(spark)
     split = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
     open_ = labelled.join(split, "token", "left_semi").join(first.select(F.col("doc_id").alias("rep"), "bits"), "rep")
     open_ = open_.select("token", "rep", "size", "pos", "component", "bits").repartition("token").sortWithinPartitions("token", "size", "pos")
     across = open_.mapInArrow(_across(percent), "a long, b long").distinct()
-    more = _verified(docs, first, written(across, "jaccard-across"), k, percent)
+    across = written(across, "jaccard-across")
+    discard(labelled)
+    more = _verified(docs, first, across, k, percent)
     if not more.isEmpty():
         found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "jaccard-components")
     release(spark)
@@ -332,6 +374,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row for each component: that of the smallest doc_id."""
-    found = jaccard_components(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("lw_kept")).distinct()
-    kept = docs.join(found, docs.doc_id == found.lw_kept, "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    found = jaccard_components(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("lw_kept"))
+    found = written(found, "jaccard-kept")
+    once = found.distinct().hint("shuffle_hash")
+    kept = docs.join(once, docs.doc_id == once.lw_kept, "left_semi")
+    if found.count() > once.count():  # rows given more than once
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwell.llm.runtime import release, written
+from linkwell.llm.runtime import discard, release, written
 from linkwell.llm.shingles import buffers, chunks, mixed
 
 GRAM = 64
@@ -304,6 +304,7 @@ def removed_ranges(docs: DataFrame, least: int = 400) -> DataFrame:
     anchors = written(anchors, "repeat-anchors")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     shared = written(anchors.join(often, "anchor"), "repeat-shared")
+    discard(anchors)
     release(docs.sparkSession)
     kind = ["anchor", "context", "lead", "span"]
     kinds = shared.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("at"))
