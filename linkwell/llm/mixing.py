@@ -70,23 +70,27 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_ep
 
 
 def schedule(spark, targets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, source_no, rank): the source of every slot and its rank among that source's slots."""
+    """(slot, source_no, rank): the source of every slot and its rank among that source's slots.
+
+    As many slots as blocks fill the targets, ``slots`` at most.
+    """
     run = Window.partitionBy("one").orderBy("source_no")
     ends = (
         targets.withColumn("one", F.lit(1))
         .withColumn("end", F.sum("target").over(run) / F.nullif(F.sum("target").over(Window.partitionBy("one")), F.lit(0.0)))
         .withColumn("low", F.coalesce(F.lag("end").over(run), F.lit(0.0)))
         # one grid cell, or a few, hold the points of a source: an equi-join finds them
-        .withColumn("last", F.lead("source_no").over(run).isNull())
+        .withColumn("n_slots", F.round(F.sum("target").over(Window.partitionBy("one")) / F.col("block")).cast("long"))
         .where(F.col("target") > 0)
     )
     cells = 1024
     ends = ends.withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("int"), F.least(F.floor(F.col("end") * cells), F.lit(cells)).cast("int")))
-    ).select("source_no", "low", "end", "cell")
+    ).select("source_no", "low", "end", "cell", "n_slots")
     points = spark.range(slots).select(F.col("id").alias("slot"), (((F.col("id") + 1) * F.lit(GOLDEN)) % 1.0).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * cells).cast("int"))
-    named = points.join(ends, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("end")))
+    inside = (F.col("point") >= F.col("low")) & (F.col("point") < F.col("end"))
+    named = points.join(ends, "cell").where(inside & (F.col("slot") < F.col("n_slots")))
     # ranks in two steps: within runs of slots, after the counts of the earlier runs
     named = named.withColumn("run", F.floor(F.col("slot") / 4096).cast("int"))
     counts = named.groupBy("source_no", "run").agg(F.count("*").alias("n"))

@@ -79,12 +79,12 @@ WITH docs AS (
   FROM levels
 ), ends AS (
   SELECT *, coalesce(lag(share_end) OVER (ORDER BY source_no), 0) AS share_start
-  FROM (SELECT *, sum(target) OVER (ORDER BY source_no) / nullif(sum(target) OVER (), 0) AS share_end FROM targets)
+  FROM (SELECT *, round(sum(target) OVER () / block) AS n_slots, sum(target) OVER (ORDER BY source_no) / nullif(sum(target) OVER (), 0) AS share_end FROM targets)
 ), points AS (
   SELECT range AS slot, ((range + 1) * {mixing.GOLDEN}::DOUBLE) % 1.0::DOUBLE AS point FROM range({mixing.SLOTS})
 ), ranked AS (
   SELECT source_no, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank
-  FROM points JOIN ends ON point >= share_start AND point < share_end AND target > 0
+  FROM points JOIN ends ON point >= share_start AND point < share_end AND target > 0 AND slot < n_slots
 ), placed AS (
   SELECT doc_id, size, source_no, t.source_size, target, block,
     coalesce(sum(size) OVER (PARTITION BY source_no ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

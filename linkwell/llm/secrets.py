@@ -4,9 +4,11 @@ Patterns give base spans. Other runs of LEAST or more token characters are candi
 encoding (hexadecimal, base 32, letters and digits, base 64) is inferred from each one's
 characters. Three tests ask whether it could be uniformly random in that alphabet:
 chi-squared of the character counts, Wald-Wolfowitz runs about the alphabet's middle, and
-lag-one serial correlation. A candidate that passes all three is tested against language:
-the chi-squared statistic that text of the same length would have, from the character
-frequencies of all candidates that are words. Benjamini-Hochberg control at ``FDR`` runs
+lag-one serial correlation. A candidate that passes all three is tested against language,
+by the smaller of two p-values, doubled: the chi-squared statistic that text of the same
+length would have, from the character frequencies of all candidates that are words; and
+the number of changes between letters and digits, of which names and words have two at
+most and each more is SWITCH times as likely. Benjamini-Hochberg control at ``FDR`` runs
 within strata of length, over the whole corpus: ranks come from counts of p-values in fine
 bins, so nothing is sorted or gathered. What is rejected as language is a secret.
 
@@ -35,6 +37,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE36_LOWER, BASE36_UPPER = "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 FDR = 0.01
+SWITCH = 0.2
 PASS_Z = 3.29  # two-sided one in a thousand, for each of the tests
 BINS_A_DECADE, DECADES = 100, 16
 
@@ -94,6 +97,8 @@ def _battery(c: DataFrame) -> DataFrame:
     pairs = F.transform("values", lambda v, i: F.struct(v.alias("v"), F.get("values", i + 1).alias("w")))
     c = c.withColumn("above", above).withColumn("pairs", F.slice(pairs, 1, F.size("values") - 1))
     c = c.withColumn("runs", 1.0 + F.size(F.filter("pairs", lambda p: (p["v"] > 0) != (p["w"] > 0))))
+    digits = F.transform("chars", lambda x, i: x.between("0", "9") != F.get("chars", i + 1).between("0", "9"))
+    c = c.withColumn("switches", F.size(F.filter(digits, lambda d: d)))
     mean = F.aggregate("values", zero, lambda a, v: a + v) / F.col("n")
     c = c.withColumn("mean", mean)
     power = F.aggregate("values", zero, lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean")))
@@ -102,7 +107,7 @@ def _battery(c: DataFrame) -> DataFrame:
     expected = 2 * up * down / n + 1
     variance = (expected - 1) * (expected - 2) / (n - 1)
     return c.select(
-        "row_id", "start", "stop", "body", "n", "k", "x", "squares",
+        "row_id", "start", "stop", "body", "n", "k", "x", "squares", "switches",
         ((F.col("x") - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)).alias("z_chi"),
         F.when(variance > 0, (F.col("runs") - expected) / F.sqrt(variance)).otherwise(F.lit(99.0)).alias("z_runs"),
         F.when(power > 0, (product / power + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0)).alias("z_serial"),
@@ -140,7 +145,8 @@ def scan(docs: DataFrame) -> DataFrame:
     like_words = k + k * (n - 1) * agree - n
     third = agree**1.5 * 1.2
     spread = k / n * F.sqrt(2 * n * n * (agree + agree * agree - 2 * third * agree) + 4 * n * n * n * max(third * agree**0.5 - agree * agree, 1e-4))
-    p = _normal_below((F.col("x") - like_words) / spread)
+    changes = F.pow(F.lit(SWITCH), F.greatest(F.col("switches") - 2, F.lit(0)).cast("double"))
+    p = F.least(F.lit(1.0), 2 * F.least(_normal_below((F.col("x") - like_words) / spread), changes))
     passes = (F.abs("z_chi") < PASS_Z) & (F.abs("z_runs") < PASS_Z) & (F.abs("z_serial") < PASS_Z)
     place = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_A_DECADE), F.lit(BINS_A_DECADE * DECADES)).cast("int")
     tested = tested.withColumn("bin", F.when(passes, place).otherwise(F.lit(0)))
