@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkwell.llm.folds import held_out, learnable
+from linkwell.llm.folds import held_out, learnable, sampled
 from linkwell.llm.shingles import buffers, chunks
 
 WINDOW = 64
@@ -183,9 +183,12 @@ def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, labels and languages of the bounded training sample."""
     import pyarrow as pa
 
-    labelled = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    labelled = docs.where(learnable() & F.col("lang").isNotNull())
+    sizes = labelled.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("of_rows"))  # a row a language
+    few = labelled.select("doc_id", "lang").join(F.broadcast(sizes), F.col("lang") == F.col("of_lang"))
+    few = sampled(few, "doc_id", DOCS, F.col("of_rows"))
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("no", F.row_number().over(order)).where(F.col("no") <= DOCS)
+    chosen = few.select("doc_id", "lang").withColumn("no", F.row_number().over(order)).where(F.col("no") <= DOCS)
     # DOCS rows a language at most
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).distinct())
     texts = labelled.join(chosen, (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))

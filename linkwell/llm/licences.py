@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwell.llm.folds import sampled
+
 #: Fixed texts: notices by family.
 TEMPLATES = {
     "Apache-2.0": [
@@ -137,7 +139,7 @@ def train(unknown_lines: list[str]) -> dict:
 
 def sample_lines(docs: DataFrame) -> list[str]:
     """Lines of a bounded sample of documents, for the class unknown."""
-    chosen = docs.where(F.col("text").isNotNull()).select("text", F.md5(F.col("doc_id").cast("string")).alias("ord")).orderBy("ord", "text").limit(SAMPLE)
+    chosen = sampled(docs, "doc_id", SAMPLE, F.lit(docs.count())).where(F.col("text").isNotNull()).select("text", F.md5(F.col("doc_id").cast("string")).alias("ord")).orderBy("ord", "text").limit(SAMPLE)
     lines = chosen.select("ord", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.trim("line") != "")
     lines = lines.orderBy(F.md5(F.concat_ws(" ", "ord", "no")), "line").limit(SAMPLE_LINES)
     return [r.line for r in lines.collect()]

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkwell.llm.folds import held_out, learnable
+from linkwell.llm.folds import held_out, learnable, sampled
 from linkwell.llm.runtime import written
 from linkwell.llm.shingles import buffers, chunks, word_hashes
 
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     if not n0 or not n1:
         return {"prior": prior}
     ratios = log_count_ratios(found[0][1], found[1][1])
-    chosen = rows.withColumn("ord", F.md5(F.col("doc_id").cast("string"))).orderBy("ord", "doc_id").limit(SAMPLE)
+    chosen = sampled(rows, "doc_id", SAMPLE, F.lit(n0 + n1)).withColumn("ord", F.md5(F.col("doc_id").cast("string"))).orderBy("ord", "doc_id").limit(SAMPLE)
     sample = chosen.select("doc_id", "text", "lw_label").mapInArrow(_sampled, "doc_id long, label int, features binary")
     sample = sorted(((r.doc_id, r.label, np.frombuffer(bytes(r.features), np.int32)) for r in sample.toLocalIterator()), key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1]))
     values = []
