@@ -17,7 +17,8 @@
    Only texts that a bit array of fixed size lets through are made into sets again.
 
 Copies and near copies in any number stay linear: pairs within a component are never
-listed. No text, set, link or component reaches the driver; the sketch (8 MB) does.
+listed. Long lists are split: in round one into parts of HOT_LIST entries, in round two into
+parts of LIST entries of which every two meet in one group. No text, set, link or component reaches the driver; the sketch (8 MB) does.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link
 with nothing; rows of equal doc_id are one node; a null doc_id is a row without
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 
 from linkwell.llm.components import components
 from linkwell.llm.runtime import discard, release, written
-from linkwell.llm.shingles import buffers, chunks, shingle_sets
+from linkwell.llm.shingles import buffers, chunks, mixed, shingle_sets
 
 SKETCH_BITS = 21
 SKETCH_PARTS = 32
 FILTER_BITS = 23
+HOT_LIST = 100_000  # entries by the sketch's count from which on round one splits a list
+LIST = 20_000  # entries from which on round two splits a list
 SEEN = 50_000  # classes a task remembers, to list copies once
 
 
@@ -118,7 +121,7 @@ def _entries(k: int, percent: int, sketch):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = buffers(batch.column(1))
-            token, doc, size, pos = [], [], [], []
+            token, doc, size, pos, salt = [], [], [], [], []
             for i, j in chunks(offsets):
                 for row, h in enumerate(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k), i):
                     if not len(h) or ids[row] is None:
@@ -132,31 +135,36 @@ def _entries(k: int, percent: int, sketch):
                         seen.popitem(last=False)
                     n = len(h)
                     length = n - (percent * n + 99) // 100 + 1
-                    order = np.lexsort((h, counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]))[:length]
+                    frequent = counts[(h & np.uint64(len(counts) - 1)).astype(np.int64)]
+                    order = np.lexsort((h, frequent))[:length]
+                    parts = frequent[order].astype(np.uint64) // np.uint64(HOT_LIST) + np.uint64(1)
+                    # differently for every element, so that the parts of one list meet in others
+                    mine = (mixed(h[order] ^ np.uint64(ids[row] & (1 << 64) - 1)) % parts).astype(np.int32)
+                    salt.append(np.where(parts > 1, mine, -1).astype(np.int32))
                     token.append(h[order].view(np.int64))
                     doc.append(np.full(length, ids[row], np.int64))
                     size.append(np.full(length, n, np.int32))
                     pos.append(np.arange(length, dtype=np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, doc, size, pos)], names=["token", "doc_id", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, doc, size, pos, salt)], names=["token", "doc_id", "size", "pos", "salt"])
 
     return work
 
 
 def _lists(batches):
-    """Entries sorted by (token, size, doc_id) -> those of lists of two or more, each with
-    the set before it and the first set of its list."""
+    """Entries sorted by (token, salt, size, doc_id) -> those of lists of two or more and those of
+    split lists, each with the set before it and the first set of its list, or part of a list."""
     import pyarrow as pa
 
     held: list[np.ndarray] | None = None  # the entry that came last, its list's first set, and whether it was given out
     for batch in batches:
         if not len(batch):
             continue
-        token, doc, size, pos = [c.to_numpy() for c in batch.columns]
+        token, doc, size, pos, salt = [c.to_numpy() for c in batch.columns]
         n = len(token)
         new = np.empty(n, bool)
-        new[1:] = token[1:] != token[:-1]
-        new[0] = held is None or held[0] != token[0]
+        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+        new[0] = held is None or held[0] != token[0] or held[6] != salt[0]
         start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         first = np.where(start >= 0, doc[np.maximum(start, 0)], held[4] if held is not None else 0)
         prev = np.empty(n, np.int64)
@@ -166,6 +174,7 @@ def _lists(batches):
         out = ~new
         out[:-1] |= ~new[1:]
         out[-1] = not new[-1]  # else the next batch decides
+        out |= salt >= 0
         cols = [x[out] for x in (token, doc, size, pos)]
         link = ~new[out]
         more = [np.where(link, prev[out], doc[out]), first[out]]
@@ -175,7 +184,7 @@ def _lists(batches):
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         if len(cols[0]):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip([*cols, *more], types, strict=True)], names=["token", "doc_id", "size", "pos", "prev", "first"])
-        held = [token[-1], doc[-1], size[-1], pos[-1], first[-1], bool(out[-1])]
+        held = [token[-1], doc[-1], size[-1], pos[-1], first[-1], bool(out[-1]), salt[-1]]
 
 
 def _bitmap_filter(percent: int):
@@ -196,7 +205,7 @@ def _bitmap_filter(percent: int):
 
 
 def _across(percent: int):
-    """List entries (token, rep, size, pos, component, bits), sorted by (token, size, pos)
+    """List entries (token, cell, rep, size, pos, component, bits), sorted by (token, cell, size, pos)
     -> pairs (a, b) of different components that may reach the similarity."""
     import pyarrow as pa
 
@@ -236,10 +245,10 @@ def _across(percent: int):
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for t, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if t != token:
+            for t, cell, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (t, cell) != token:
                     yield from done()
-                    held, token = [], t
+                    held, token = [], (t, cell)
                 held.append(rest)
         yield from done()
 
@@ -334,8 +343,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     classes = whole.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = written(whole.join(classes, "sig").select("doc_id", "rep"), "jaccard-classes")
 
-    entries = docs.mapInArrow(_entries(k, percent, sketch), "token long, doc_id long, size int, pos int")
-    entries = entries.repartition("token").sortWithinPartitions("token", "size", "doc_id")
+    entries = docs.mapInArrow(_entries(k, percent, sketch), "token long, doc_id long, size int, pos int, salt int")
+    entries = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "doc_id")
     lists = written(entries.mapInArrow(_lists, "token long, doc_id long, size int, pos int, prev long, first long"), "jaccard-lists")
     release(spark)
 
@@ -356,9 +365,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     labelled = written(labelled, "jaccard-labelled")
     discard(lists)
     release(spark)
-    split = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    open_ = labelled.join(split, "token", "left_semi").join(first.select(F.col("doc_id").alias("rep"), "bits"), "rep")
-    open_ = open_.select("token", "rep", "size", "pos", "component", "bits").repartition("token").sortWithinPartitions("token", "size", "pos")
+    split = labelled.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("entries"))
+    split = split.where("c0 <> c1").select("token", F.ceil(F.col("entries") / LIST).alias("parts"))
+    # a long list is cut into parts, and every two of them meet in a cell
+    open_ = labelled.join(split, "token").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    open_ = open_.withColumn("cell", F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other"))
+    open_ = open_.join(first.select(F.col("doc_id").alias("rep"), "bits"), "rep")
+    open_ = open_.select("token", "cell", "rep", "size", "pos", "component", "bits").repartition("token", "cell").sortWithinPartitions("token", "cell", "size", "pos")
     across = open_.mapInArrow(_across(percent), "a long, b long").distinct()
     across = written(across, "jaccard-across")
     discard(labelled)

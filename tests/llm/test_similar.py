@@ -67,6 +67,14 @@ def test_join_equals_brute_force(make, k, percent):
     assert got == brute(rows, k, percent)
 
 
+def test_split_lists_lose_no_link(make, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_LIST", 3)
+    monkeypatch.setattr(jaccard, "LIST", 4)
+    rows = near_copies(9, 250)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(make(rows), 2, 70).collect()}
+    assert got == brute(rows, 2, 70)
+
+
 def test_join_on_the_smallest_table(spark, small):
     from linkwell.llm.queries import QUERIES
 
