@@ -5,7 +5,9 @@ also starts anywhere else, across all documents.
    least hash among its GRAM-byte strings. Neighbouring windows of one choice form a
    context; equal windows lie in contexts of one anchor, at one distance from it. Only
    hashes and places are shuffled: a few percent of the text.
-2. Contexts that are equal as a whole repeat as a whole.
+2. Contexts that are equal as a whole repeat as a whole. Those of one batch of rows are
+   counted together before the shuffle, so that a passage of many texts, or a text that
+   repeats itself, is a row for each batch.
 3. Of the other contexts of an anchor the texts are fetched, one of each, and searched by
    threshold-bounded interval expansion: on the Burrows-Wheeler transform of the texts,
    a breadth-first backward extension sets common-prefix lengths by increasing value, and
@@ -215,20 +217,42 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchored(least: int):
+    """(doc_id, key, text) -> the contexts of a batch, equal ones once with their number; and,
+    without anchor, the ranges of those that a batch has several times."""
     import pyarrow as pa
 
-    names = ["doc_id", "key", "start", "lead", "span", "anchor", "context"]
+    names = ["doc_id", "key", "start", "stop", "lead", "span", "anchor", "context", "times"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def work(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            ids, keys = batch.column(0), batch.column(1)
+            ids, keys, found = batch.column(0), batch.column(1), []
             for i, piece, off, before in segments(data, offsets, least):
-                row, start, lead, span, anchor, context = contexts(piece, off, least)
-                if len(row):
-                    take = pa.array(row + i)
-                    cols = [ids.take(take), keys.take(take), pa.array(start + before), pa.array(lead.astype(np.int32)), pa.array(span.astype(np.int32)), pa.array(anchor), pa.array(context)]
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                row, start, *rest = contexts(piece, off, least)
+                found.append((row + i, start + before, *rest))
+            if not found:
+                continue
+            row, start, lead, span, anchor, context = (np.concatenate(c) for c in zip(*found, strict=True))
+            if not len(row):
+                continue
+            stop = start + span + least
+            whole = mixed(anchor.view(np.uint64) ^ mixed(context.view(np.uint64) ^ (lead * 65536 + span).astype(np.uint64)))
+            _, once, which, times = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+            cols = [x[once] for x in (start, stop, lead, span, anchor, context)] + [times]
+            take = pa.array(row[once])
+            yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), *[pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(cols, types, strict=True)]], names=names)
+            again = np.flatnonzero(times[which] > 1)
+            if len(again):
+                row, start, stop = row[again], start[again], stop[again]  # in order of rows and starts; stops ascend too
+                new = np.append(True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1]))
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(row)) - 1
+                take, none = pa.array(row[first]), [None] * len(first)
+                cols = [start[first], stop[last]]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(take), keys.take(take), *[pa.array(c) for c in cols], *[pa.array(none, type=t) for t in types[2:]]], names=names
+                )
 
     return work
 
@@ -300,17 +324,19 @@ def _searched(least: int):
 def removed_ranges(docs: DataFrame, least: int = 400) -> DataFrame:
     """(doc_id, key, start, stop): byte ranges to remove, overlapping; key is xxhash64(text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    anchors = keyed.mapInArrow(_anchored(least), "doc_id long, key long, start long, lead int, span int, anchor long, context long")
+    anchors = keyed.mapInArrow(_anchored(least), "doc_id long, key long, start long, stop long, lead int, span int, anchor long, context long, times long")
     anchors = written(anchors, "repeat-anchors")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    shared = written(anchors.join(often, "anchor"), "repeat-shared")
+    held = anchors.where("anchor IS NOT NULL")
+    often = held.groupBy("anchor").agg(F.sum("times").alias("all_times")).where("all_times > 1").select("anchor")
+    shared = written(held.join(often, "anchor"), "repeat-shared")
+    ranges = written(anchors.where("anchor IS NULL").select("doc_id", "key", "start", "stop"), "repeat-local")
     discard(anchors)
     release(docs.sparkSession)
     kind = ["anchor", "context", "lead", "span"]
-    kinds = shared.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("at"))
+    kinds = shared.groupBy(*kind).agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("at"))
     kinds = written(kinds, "repeat-kinds")
     same = shared.join(kinds.where("n > 1").select(*kind), kind, "left_semi")
-    ranges = same.select("doc_id", "key", "start", (F.col("start") + F.col("span") + least).alias("stop"))
+    ranges = ranges.unionByName(same.select("doc_id", "key", "start", "stop"))
 
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "anchor").select("at.*", "anchor", "span", "n", (F.col("kinds") > HOT).alias("hot"))
@@ -327,6 +353,7 @@ def removed_ranges(docs: DataFrame, least: int = 400) -> DataFrame:
     bodies = bodies.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "start")
     partly = bodies.mapInArrow(_searched(least), "doc_id long, key long, start long, stop long")
     found = written(ranges.unionByName(partly), "repeat-ranges")
+    discard(shared)
     release(docs.sparkSession)
     if not wanted.where("hot").isEmpty():
         windows = texts("hot").mapInArrow(_fetched(least, True), "doc_id long, key long, start long, w0 long, w1 long")
