@@ -1,9 +1,9 @@
 """Blocking: projections of encoded records, capped buckets, candidate pairs.
 
-One exchange by (round, key hash) serves the cap per party, the meeting of the two parties
-and the statistics: what leaves it is at most representatives^2 pairs a bucket, so a
-bucket of any size is never expanded. Rows carry ids only; Spark cuts each task's part of
-a bucket to its first rows before that exchange.
+Rows carry ids and a 128-bit key hash only. Spark cuts each task's part of a bucket to its
+first rows before the exchange that ranks them, so a bucket of any size reaches its task
+as a few rows from each other task; the second exchange, where the parties meet, has capped
+rows only, and what leaves it is at most representatives^2 pairs a bucket.
 """
 
 from __future__ import annotations

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from linkwell.config import DEFAULT, LinkageConfig
 from linkwell.functions.encode import masks
@@ -41,7 +40,7 @@ class Linkage:
 
     @property
     def records(self) -> DataFrame:
-        return names.records(self.clean, self.fuzzy.select("idx", F.col("fuzzy_name").alias("name")))
+        return names.records_of(self.fuzzy)
 
     @property
     def encoded(self) -> DataFrame:

@@ -89,10 +89,19 @@ def document_names(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\n.,!?;:]+"), F.lit(0))
     rows = docs.select(F.col("doc_id").alias("idx"), words.alias("words")).withColumn("n", F.size("words"))
     at = lambda part: F.get("words", F.expr(f"(n * {part}) div 4").cast("int"))
-    return rows.select("idx", F.when(F.col("n") > 0, F.concat_ws(" ", at(1), at(2), at(3))).otherwise("").alias("name"))
+    name = F.when(F.col("n") > 0, F.concat_ws(" ", at(1), at(2), at(3))).otherwise("")
+    # opened from an array, so that later filters on the name do not parse the text again
+    return rows.select("idx", F.inline(F.array(F.struct(name.alias("name")))))
 
 
 def records(party0: DataFrame, party1: DataFrame) -> DataFrame:
     """(party, idx, name, valid) of two (idx, name) tables; blank names keep their position."""
     both = party0.select(F.lit(0).cast("long").alias("party"), "idx", "name").unionByName(party1.select(F.lit(1).cast("long").alias("party"), "idx", "name"))
     return both.select("party", "idx", F.coalesce("name", F.lit("")).alias("name"), (~is_blank(F.col("name"))).alias("valid"))
+
+
+def records_of(pairs: DataFrame) -> DataFrame:
+    """The same of one table (idx, name, fuzzy_name) that holds both sides: one pass."""
+    both = F.array(*[F.struct(F.lit(p).cast("long").alias("party"), F.coalesce(c, F.lit("")).alias("name")) for p, c in enumerate(("name", "fuzzy_name"))])
+    rows = pairs.select("idx", F.inline(both))
+    return rows.select("party", "idx", "name", (~is_blank(F.col("name"))).alias("valid"))
