@@ -154,3 +154,23 @@ def test_stream_equals_batch(spark, tmp_path, linkage):
     enc, pairs = blocking.candidate_pairs(names.records(clean, arrivals), linkage.n, uncapped)
     assert got == {(r.a_idx, r.b_idx) for r in verify.matches(pairs, enc, uncapped).collect()}
     assert encode.hash_unit_of("a", 1) < 1 << 32
+
+
+#: Published pairs with their distances and reasons; hash collisions show in the first four.
+PUBLISHED = [
+    ("Lucas  Moreno", "Lucas  Mtreno", 3, "near_token_edit_distance_le_1"),
+    ("Grace  Rose", "Grace  Rpse", 3, "near_token_edit_distance_le_1"),
+    ("Haruna  Nakayama", "Haruna  Nakashima", 3, "possible_false_positive"),
+    ("Sō  Nakagawa", "Rilo  Nakagawa", 4, "possible_false_positive"),
+    ("Gilli  Johansen", "Gilli  Johansef", 4, "near_token_edit_distance_le_1"),
+    ("Hannah  Schmidt", "Hannah  Schmidt", 0, "exact_normalised_name"),
+]
+
+
+def test_published_distances_and_reasons(spark):
+    from linkwell.functions import distance
+
+    rows = spark.createDataFrame([(i, 0, 1, *p) for i, p in enumerate(PUBLISHED)], "i int, a_idx bigint, b_idx bigint, a_name string, b_name string, d bigint, want string")
+    bits = lambda c: encode.encode_token_or(F.col(c), kind="murmur")
+    got = evaluate.classified(rows).select("d", "want", "reason", distance.hamming(bits("a_name"), bits("b_name")).alias("got")).collect()
+    assert all(r.d == r.got and r.want == r.reason for r in got)
