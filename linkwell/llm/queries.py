@@ -58,6 +58,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words of a text: runs of characters other than space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+ORACLE_JACCARD = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS shingle
+  FROM worded
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), edges AS (
+  SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT u, u AS v FROM edges UNION SELECT r.u, e.v FROM reached r JOIN edges e ON r.v = e.u
+), least_of AS (
+  SELECT u, min(v) AS m FROM reached GROUP BY u
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id FROM worded LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON u = doc_id
+"""
+
 ORACLE_MIXING = f"""
 WITH docs AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS ord, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents
@@ -115,4 +137,4 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op10_mixing": ORACLE_MIXING}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": ORACLE_JACCARD, "op10_mixing": ORACLE_MIXING}
