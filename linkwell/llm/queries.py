@@ -80,6 +80,27 @@ WITH RECURSIVE worded AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id FROM worded LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON u = doc_id
 """
 
+ORACLE_REPEATS = """
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(x) // 2 AS n FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS w FROM (SELECT doc_id, x, unnest(range(greatest(n - 399, 0))) AS i FROM bytes)
+), repeated AS (
+  SELECT doc_id, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS first FROM repeated
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked) GROUP BY doc_id, span
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(gap, '' ORDER BY a) AS gaps
+  FROM (SELECT s.*, substr(x, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS gap FROM spans s JOIN bytes USING (doc_id))
+  GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(gaps, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_MIXING = f"""
 WITH docs AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS ord, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents
@@ -137,4 +158,4 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": ORACLE_JACCARD, "op10_mixing": ORACLE_MIXING}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": ORACLE_JACCARD, "op7_suffix_array_dedup": ORACLE_REPEATS, "op10_mixing": ORACLE_MIXING}
