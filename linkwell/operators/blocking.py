@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linkwell.config import DEFAULT, LinkageConfig
 from linkwell.functions.encode import encode_token_or, hash_unit, key_hash, masks, membership, project, projection_key
+from linkwell.functions.records import serialized_bucket, serialized_hex
 
 
 def encoded(records: DataFrame, config: LinkageConfig = DEFAULT, kind: str = "md5") -> DataFrame:
@@ -51,6 +52,13 @@ def bucket_stats(projected: DataFrame, config: LinkageConfig = DEFAULT) -> DataF
     )
 
 
+def sender_buckets(cap: DataFrame, enc: DataFrame, config: LinkageConfig = DEFAULT) -> DataFrame:
+    """(round, key_hash, bucket): party 0's capped buckets in fixed-width form."""
+    rows = cap.where("party = 0").join(enc.where("party = 0").select("idx", "name"), "idx")
+    values = rows.groupBy("round", "key_hash").agg(F.array_sort(F.collect_list(F.struct("place", "idx", "name"))).alias("v"))
+    return values.select("round", "key_hash", serialized_bucket(F.transform("v", lambda x: serialized_hex(x["idx"], x["name"], config)), config).alias("bucket"))
+
+
 def meetings(cap: DataFrame) -> DataFrame:
     """(round, key_hash, a, b): the representatives of buckets that both parties have."""
     side = lambda p: F.array_sort(F.collect_list(F.when(F.col("party") == p, F.col("idx"))))

@@ -26,6 +26,20 @@ def matches(pairs: DataFrame, enc: DataFrame, config: LinkageConfig = DEFAULT) -
     return near.select("round", "a_idx", "a_name", "b_idx", "b_name", F.lit(0).cast("long").alias("proj_dist"), "payload_dist")
 
 
+def share_dump(found: DataFrame, config: LinkageConfig = DEFAULT) -> DataFrame:
+    """Matches with the number of verified shares: one for each bit of a vector."""
+    return found.select("round", "a_idx", "a_name", "b_idx", "b_name", "proj_dist", "payload_dist", F.lit(config.bits).cast("long").alias("verified_share_count"))
+
+
+def require_known(pairs: DataFrame, enc: DataFrame) -> None:
+    """Raises if a pair names a record that its party does not have."""
+    for p, x in enumerate("ab"):
+        known = enc.where(F.col("party") == p).select(F.col("idx").alias(f"{x}_idx"))
+        lost = pairs.join(known, f"{x}_idx", "left_anti").select(f"{x}_idx").head(3)
+        if lost:
+            raise ValueError(f"party {p} has no records {[r[0] for r in lost]}")
+
+
 def manifest(ids: DataFrame, enc: DataFrame) -> DataFrame:
     """(candidate_id, round, a_idx, a_name, b_idx, b_name, proj_dist)."""
     rows = with_payloads(ids, enc)

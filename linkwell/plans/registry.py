@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwell.config import DEFAULT
-from linkwell.functions import distance, encode, normalize, words64
+from linkwell.functions import distance, encode, normalize, records, words64
 from linkwell.operators import blocking, evaluate, shares, synth, verify
 from linkwell.plans import oracle as o
 from linkwell.plans.pipeline import Linkage
@@ -208,9 +208,45 @@ def party_inputs(x: Linkage) -> DataFrame:
     return verify.party_inputs(x.numbered, x.encoded, 1)
 
 
+_LE = "(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))"
+
+
+def _le32(x: str) -> str:
+    return "list_transform([lpad(hex(CAST(" + x + " AS BIGINT)), 8, '0')], lambda h: " + _LE + ")[1]"
+
+
+_BODY = f"substr(hex(encode(name)), 1, {2 * DEFAULT.name_bytes})"
+_VALUE = f"({_le32('idx')} || {_le32(f'length({_BODY}) // 2')} || rpad({_BODY}, {2 * DEFAULT.name_bytes}, '0'))"
+
+
+@query(o.query("enc", f"SELECT party, idx, {_VALUE} AS value, idx AS back_idx, name AS back_name FROM enc"))
+def serialized_values(x: Linkage) -> DataFrame:
+    rows = x.encoded.select("party", "idx", records.serialized(F.col("idx"), name()).alias("body"))
+    back = records.deserialized(F.col("body"))
+    return rows.select("party", "idx", F.hex("body").alias("value"), back["idx"].alias("back_idx"), back["name"].alias("back_name"))
+
+
+@query(
+    o.query(
+        "capped enc",
+        f"SELECT round, key_hash, {_le32('count(*)')} || rpad(string_agg({_VALUE}, '' ORDER BY place), {2 * (8 + DEFAULT.name_bytes) * DEFAULT.representatives}, '0') AS body, list(idx ORDER BY place) AS ids "
+        "FROM capped c JOIN (SELECT party AS p, idx AS i, name FROM enc) ON p = 0 AND i = idx WHERE party = 0 GROUP BY round, key_hash",
+    )
+)
+def sender_buckets(x: Linkage) -> DataFrame:
+    rows = blocking.sender_buckets(x.capped, x.encoded).withColumn("back", records.deserialized_bucket(F.col("bucket")))
+    return rows.select("round", "key_hash", F.hex("bucket").alias("body"), F.transform("back", lambda v: v["idx"]).alias("ids"))
+
+
 # -- verification
 
 
+@query(o.query("matches", f"SELECT *, CAST({DEFAULT.bits} AS BIGINT) AS verified_share_count FROM matches"))
+def share_dump(x: Linkage) -> DataFrame:
+    return verify.share_dump(x.matches)
+
+
+
 @query(o.query("paired", f"SELECT candidate_id, d AS distance, d <= {DEFAULT.threshold} AS is_match FROM paired"))
 def popcount_filter(x: Linkage) -> DataFrame:
     return verify.revealed(x.numbered, x.encoded)

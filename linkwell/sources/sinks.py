@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkwell.config import DEFAULT, LinkageConfig
+
 
 def write_rounds(projected: DataFrame, path: str) -> None:
     """Both parties' projections, a folder for each round and party."""
@@ -57,6 +59,26 @@ def ids_of_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(found != "").select(found.cast("long").alias("candidate_id")).distinct().orderBy("candidate_id")
 
 
+def write_settings(spark: SparkSession, path: str, candidates: int, config: LinkageConfig = DEFAULT, offset: int = 0) -> None:
+    """The settings of a batch of candidates as KEY = VALUE lines; ``config`` has checked that chunks fit."""
+    values = {
+        "PAYLOAD_BITS": config.bits,
+        "CHUNK_BITS": config.chunk_bits,
+        "PAYLOAD_CHUNKS": config.bits // config.chunk_bits,
+        "HAMMING_D": config.threshold,
+        "CANDIDATE_OFFSET": offset,
+        "MAX_CANDIDATES": candidates,
+    }
+    lines = spark.createDataFrame([(f"{k} = {v}",) for k, v in values.items()], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A row as name: value lines."""
+    names = F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in summary.columns])
+    summary.select(F.explode(names).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def settings(spark: SparkSession, path: str) -> dict[str, str]:
     """KEY = VALUE lines of a small file."""
     rows = spark.read.text(path).select(F.regexp_extract("value", "^\\s*(\\w+)\\s*=", 1).alias("k"), F.trim(F.regexp_extract("value", "=\\s*(.*)$", 1)).alias("v"))

@@ -174,3 +174,29 @@ def test_published_distances_and_reasons(spark):
     bits = lambda c: encode.encode_token_or(F.col(c), kind="murmur")
     got = evaluate.classified(rows).select("d", "want", "reason", distance.hamming(bits("a_name"), bits("b_name")).alias("got")).collect()
     assert all(r.d == r.got and r.want == r.reason for r in got)
+
+
+def test_fixed_width_forms(spark, tmp_path, linkage):
+    from linkwell.functions import records
+
+    long = "é" * 100
+    rows = spark.createDataFrame([(7, "ab"), (1 << 20, long), (0, "")], "idx bigint, name string")
+    value = records.serialized(F.col("idx"), F.col("name"))
+    got = [(bytes(r[0]), r[1]) for r in rows.select(value, records.deserialized(value)).collect()]
+    assert got[0][0] == (7).to_bytes(4, "little") + (2).to_bytes(4, "little") + b"ab" + bytes(126)
+    assert [len(v) for v, _ in got] == [136] * 3
+    assert [tuple(b) for _, b in got] == [(7, "ab"), (1 << 20, "é" * 64), (0, "")]
+    four = rows.select(records.serialized_bucket(F.array_repeat(records.serialized_hex(F.col("idx"), F.col("name")), 4)))
+    with pytest.raises(Exception, match="exceeds the cap"):
+        four.collect()
+    with pytest.raises(Exception, match="unexpected length"):
+        rows.select(records.deserialized_bucket(value)).collect()
+    with pytest.raises(Exception, match="invalid name length"):
+        rows.select(records.deserialized(F.unhex(F.lpad(F.lit("FF000000"), 272, "0")))).select(F.expr("*")).union(rows.select(records.deserialized(F.unhex(F.rpad(F.lit("00000000FF000000"), 272, "0"))))).collect()
+    sinks.write_settings(spark, str(tmp_path / "conf"), 5)
+    assert sinks.settings(spark, str(tmp_path / "conf")) == {"PAYLOAD_BITS": "2048", "CHUNK_BITS": "64", "PAYLOAD_CHUNKS": "32", "HAMMING_D": "4", "CANDIDATE_OFFSET": "0", "MAX_CANDIDATES": "5"}
+    sinks.write_summary(linkage.summary, str(tmp_path / "summary"))
+    assert any(r.value.startswith("strict_f1: 0.") for r in spark.read.text(str(tmp_path / "summary")).collect())
+    verify.require_known(linkage.candidates, linkage.encoded)
+    with pytest.raises(ValueError, match="party 1"):
+        verify.require_known(spark.createDataFrame([(0, -5)], "a_idx bigint, b_idx bigint"), linkage.encoded)
