@@ -151,40 +151,45 @@ def _entries(k: int, percent: int, sketch):
     return work
 
 
-def _lists(batches):
-    """Entries sorted by (token, salt, size, doc_id) -> those of lists of two or more and those of
-    split lists, each with the set before it and the first set of its list, or part of a list."""
+def _lists(percent: int):
+    """Entries sorted by (token, salt, size, doc_id) -> those whose list, or part of a split list,
+    has a set of a size that may link, with the set before it and the first set.
+
+    In the order of sizes the next set is the closest: where neither neighbour may link, none may.
+    Of split lists all entries stay, for their other parts.
+    """
     import pyarrow as pa
 
-    held: list[np.ndarray] | None = None  # the entry that came last, its list's first set, and whether it was given out
-    for batch in batches:
-        if not len(batch):
-            continue
-        token, doc, size, pos, salt = [c.to_numpy() for c in batch.columns]
-        n = len(token)
-        new = np.empty(n, bool)
-        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-        new[0] = held is None or held[0] != token[0] or held[6] != salt[0]
-        start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-        first = np.where(start >= 0, doc[np.maximum(start, 0)], held[4] if held is not None else 0)
-        prev = np.empty(n, np.int64)
-        prev[1:] = doc[:-1]
-        prev[0] = held[1] if held is not None else 0
-        # an entry is in a list of two if it continues one or the next continues it
-        out = ~new
-        out[:-1] |= ~new[1:]
-        out[-1] = not new[-1]  # else the next batch decides
-        out |= salt >= 0
-        cols = [x[out] for x in (token, doc, size, pos)]
-        link = ~new[out]
-        more = [np.where(link, prev[out], doc[out]), first[out]]
-        if held is not None and not new[0] and not held[5]:
-            cols = [np.concatenate([[h], c]) for h, c in zip(held[:4], cols, strict=True)]
-            more = [np.concatenate([[held[1]], more[0]]), np.concatenate([[held[1]], more[1]])]
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip([*cols, *more], types, strict=True)], names=["token", "doc_id", "size", "pos", "prev", "first"])
-        held = [token[-1], doc[-1], size[-1], pos[-1], first[-1], bool(out[-1]), salt[-1]]
+    def work(batches):
+        held: list | None = None  # the entry that came last, its list's first set, whether it was given out, its salt
+        for batch in batches:
+            if not len(batch):
+                continue
+            token, doc, size, pos, salt = [c.to_numpy() for c in batch.columns]
+            n = len(token)
+            new = np.empty(n, bool)
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            new[0] = held is None or held[0] != token[0] or held[6] != salt[0]
+            start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            first = np.where(start >= 0, doc[np.maximum(start, 0)], held[4] if held is not None else 0)
+            prev, before = np.empty(n, np.int64), np.empty(n, np.int64)
+            prev[1:], before[1:] = doc[:-1], size[:-1]
+            prev[0], before[0] = (held[1], held[2]) if held is not None else (0, 0)
+            near = ~new & (before * 100 >= size.astype(np.int64) * percent)
+            out = near.copy()
+            out[:-1] |= near[1:]  # of the last entry the next batch decides
+            out |= salt >= 0
+            cols = [x[out] for x in (token, doc, size, pos)]
+            more = [np.where(near[out], prev[out], doc[out]), first[out]]
+            if held is not None and near[0] and not held[5]:
+                cols = [np.concatenate([[h], c]) for h, c in zip(held[:4], cols, strict=True)]
+                more = [np.concatenate([[held[1]], more[0]]), np.concatenate([[held[4]], more[1]])]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            if len(cols[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip([*cols, *more], types, strict=True)], names=["token", "doc_id", "size", "pos", "prev", "first"])
+            held = [token[-1], doc[-1], size[-1], pos[-1], first[-1], bool(out[-1]), salt[-1]]
+
+    return work
 
 
 def _bitmap_filter(percent: int):
@@ -345,7 +350,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     entries = docs.mapInArrow(_entries(k, percent, sketch), "token long, doc_id long, size int, pos int, salt int")
     entries = entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "size", "doc_id")
-    lists = written(entries.mapInArrow(_lists, "token long, doc_id long, size int, pos int, prev long, first long"), "jaccard-lists")
+    lists = written(entries.mapInArrow(_lists(percent), "token long, doc_id long, size int, pos int, prev long, first long"), "jaccard-lists")
     release(spark)
 
     near = lists.select("doc_id", F.col("prev").alias("other")).unionByName(lists.select("doc_id", F.col("first").alias("other")))
