@@ -9,17 +9,22 @@ held-back rows calibrates probabilities; below LEAST_PROBABILITY a paragraph is
 A licence is confirmed where one of its templates' word pairs are in the paragraph to the
 share LEAST_SIMILARITY or more.
 
-Main path: DataFrame functions only. Only paragraphs with a cue, a template word that the
-unknown rows do not have, are scored; the others are unknown by definition. Weights and
-templates are small tables of fixed size, broadcast.
-
-Defined results: null and empty texts have no paragraph; every paragraph of a known family
-is a row, repeated rows' too; empty tables give an empty result.
+Main path: DataFrame functions only. Paragraphs without a cue are not scored: cues are all
+words of the vocabulary but some that, taken all together with their pairs, reach
+LEAST_PROBABILITY in no family under the fitted weights; nor are those whose grams' largest
+gains together do not reach it. So what is skipped is unknown whatever the sample was; the
+sample only says which words are worth leaving out. Weights and templates are small tables
+of fixed size, broadcast.
+
+Defined results: null and empty texts have no paragraph; a paragraph without a gram of the
+vocabulary is unknown; every paragraph of a known family is a row, repeated rows' too; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -131,10 +136,41 @@ def train(unknown_lines: list[str]) -> dict:
         w -= 8.0 / (1 + step / 100) * (xs.T @ ((softmax(xs @ w) - hs) * cs) + 1e-4 * w)
     logits = x[held] @ w
     losses = [(float((-np.log(softmax(logits * s)[np.arange(held.sum()), y[held]] + 1e-12) * each[held]).sum()), s) for s in np.linspace(0.5, 3, 26)] if held.any() else [(0, 1.0)]
-    corpus = {g for r in other[len(DECOYS) * 4 :] for g in r}
-    cues = sorted(g for texts in TEMPLATES.values() for t in texts for g in grams(t) if " " not in g and g not in corpus and len(g) > 1 and not g[0].isdigit())
-    cues = sorted(set(cues))
-    return {"families": families, "vocabulary": vocabulary, "weights": w * min(losses)[1], "cues": cues}
+    weights = w * min(losses)[1]
+    seen = Counter(g for t in unknown_lines for g in grams(t))
+    return {"families": families, "vocabulary": vocabulary, "weights": weights, "cues": cues_of(vocabulary, weights, seen)}
+
+
+def leads(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """What each gram adds at most to each family's lead over the class unknown, the lead
+    without any gram, and the lead that a family of LEAST_PROBABILITY has at least."""
+    least = LEAST_PROBABILITY - 1e-6  # probabilities are rounded
+    ahead = weights[:, 1:] - weights[:, :1]
+    return np.maximum(ahead[:-1], 0), ahead[-1], float(np.log(least / (1 - least))) - 1e-9
+
+
+def cues_of(vocabulary: list[str], weights: np.ndarray, seen: Counter) -> list[str]:
+    """The words of which a paragraph needs one at least to reach LEAST_PROBABILITY.
+
+    A family of that probability leads the class unknown by ``lead`` or more. The words that
+    are no cues, the most often ``seen`` first, are as many as stay below it in every family
+    with all their grams of positive weight.
+    """
+    gains, bias, lead = leads(weights)
+    grams_of = [set(g.split(" ")) for g in vocabulary]
+    words = sorted((g for g in vocabulary if " " not in g), key=lambda g: (-seen[g], g))
+    plain: set[str] = set()
+    for word in words:
+        more = plain | {word}
+        if (gains[[g <= more for g in grams_of]].sum(axis=0) + bias < lead).all():
+            plain = more
+    return sorted(set(words) - plain)
+
+
+def cue_pattern(cues: list[str]) -> str:
+    """Matches every lower-cased text that has a cue among its words, and few others."""
+    # a word may follow the digits of another, as in 4.0license, and a fraction may be followed by letters
+    return "(?<![a-z])(?:" + "|".join(re.escape(c) + ("(?![0-9])" if "." in c else "(?![a-z0-9])") for c in cues) + ")" if cues else "$^"
 
 
 def sample_lines(docs: DataFrame) -> list[str]:
@@ -155,20 +191,28 @@ def scan(docs: DataFrame, model: dict | None = None) -> DataFrame:
     weights = spark.createDataFrame(
         [(g, *map(float, w)) for g, w in zip(model["vocabulary"], model["weights"][:-1], strict=True)], ", ".join(["gram string", *(f"{n} double" for n in names)])
     )
-    cue = "(?i)\\b(?:" + "|".join(map(re.escape, model["cues"])) + ")\\b" if model["cues"] else "$^"
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(cue))
-    paragraphs = rows.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body")).where(F.col("body").rlike(cue))
-    featured = paragraphs.withColumn("grams", gram_column(F.col("body")))
-    scored = featured.select("row_id", "paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    cue = cue_pattern(model["cues"])
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.lower("text").rlike(cue))
+    paragraphs = rows.select("row_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "body")).where(F.lower("body").rlike(cue))
+    # a paragraph whose grams' largest gains do not make up the lead is unknown too
+    gains, alone, lead = leads(model["weights"])
+    known = {g: float(x) for g, x in zip(model["vocabulary"], gains.max(axis=1), strict=True) if x > 0}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    featured = paragraphs.withColumn("grams", F.array_intersect(gram_column(F.col("body")), F.lit(model["vocabulary"])))
+    reach = F.aggregate("grams", F.lit(float(alone.max())), lambda a, g: a + F.coalesce(F.try_element_at(table, g), F.lit(0.0)))
+    featured = featured.where(reach >= lead - 1e-6)
+    # the paragraph goes along: ids given in a second reading of the rows might be others
+    scored = featured.select("row_id", "doc_id", "paragraph", "body", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
     bias = model["weights"][-1]
-    scored = scored.groupBy("row_id", "paragraph").agg(*[(F.sum(n) + float(b)).alias(n) for n, b in zip(names, bias, strict=True)])
+    whole = [F.first(c).alias(c) for c in ("doc_id", "body")]
+    scored = scored.groupBy("row_id", "paragraph").agg(*whole, *[(F.sum(n) + float(b)).alias(n) for n, b in zip(names, bias, strict=True)])
     top = F.greatest(*names)
     total = sum((F.exp(F.col(n) - top) for n in names[1:]), F.exp(F.col(names[0]) - top))
     best = F.coalesce(*[F.when(F.col(n) == top, F.lit(f)) for n, f in zip(names, families, strict=True)])
-    scored = scored.select("row_id", "paragraph", best.alias("family"), F.round(1 / total, 6).alias("probability"))
+    scored = scored.select("row_id", "doc_id", "paragraph", "body", best.alias("family"), F.round(1 / total, 6).alias("probability"))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY))
     templates = spark.createDataFrame([(f, pairs_of(t)) for f, texts in sorted(TEMPLATES.items()) for t in texts], "family string, pairs array<string>")
-    found = featured.join(scored, ["row_id", "paragraph"]).join(F.broadcast(templates), "family")
+    found = scored.withColumn("grams", gram_column(F.col("body"))).join(F.broadcast(templates), "family")
     share = F.size(F.array_intersect("grams", "pairs")) / F.size("pairs")
     found = found.groupBy("row_id", "paragraph").agg(
         F.first("doc_id").alias("doc_id"), F.first("family").alias("family"), F.first("probability").alias("probability"),

@@ -172,6 +172,24 @@ def test_grams_agree_with_columns(spark):
     assert [sorted(r.g) for r in rows.orderBy("i").collect()] == [licences.grams(t) for t in texts]
 
 
+def test_the_sample_drops_no_paragraph(make):
+    ordinary = ["See LICENSE for details", "Version 2 was released", "Der Zug kam mit und unter the work", "All of it under the rights reserved by law", "the general public"] * 3
+    model = licences.train(ordinary)
+    lines = [t for texts in licences.TEMPLATES.values() for t in texts]
+    lines += [" ".join(w[i:j]) for w in map(str.split, lines) for i in range(0, len(w), 2) for j in (i + 1, i + 3, i + 5)]
+    lines += ["4.0license", "3.0 CC BY-NC 4.0x", "xMIT License_", "RELEASED under the MIT LICENSE", "License.5 of", *ordinary, *licences.DECOYS]
+    at = {g: i for i, g in enumerate(model["vocabulary"])}
+    want = set()
+    for i, line in enumerate(lines):
+        of = [at[g] for g in licences.grams(line) if g in at]
+        z = model["weights"][of].sum(axis=0) + model["weights"][-1]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if of and p.argmax() and round(p.max(), 6) >= licences.LEAST_PROBABILITY:
+            want.add((i, model["families"][p.argmax()]))
+    assert (lines.index("Released under the MIT License."), "MIT") in want
+    assert {(r.doc_id, r.family) for r in licences.scan(make(list(enumerate(lines))), model).collect()} == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_prose_has_no_licence(make, seed):
     rng = random.Random(seed)
