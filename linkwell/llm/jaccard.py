@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by set-relation skipping: exact links, one component per group.
+"""N-gram Jaccard join by set-relation skipping: every link, and one component per group.
 
 1. Every text becomes its set of word shingles (64-bit hashes). Equal sets are one class.
 2. Prefix filter: two sets of Jaccard p % or more share an element among the first
@@ -16,9 +16,16 @@
    difference from below and drops most false pairs; the others are verified on full sets.
    Only texts that a bit array of fixed size lets through are made into sets again.
 
-Copies and near copies in any number stay linear: pairs within a component are never
-listed. Long lists are split: in round one into parts of HOT_LIST entries, in round two into
-parts of LIST entries of which every two meet in one group. No text, set, link or component reaches the driver; the sketch (8 MB) does.
+6. ``jaccard_join`` then lists all links. They lie within components, so the sets of each
+   component of three or more meet, and every pair is decided exactly from the differences of
+   its two sets to one set of the component. Components of many sets are cut into parts of
+   which every two meet. This step grows with the links there are, a square of a group's sets.
+
+For components alone (``jaccard_components``, ``one_of_each``) step 6 is not taken: copies and
+near copies in any number stay linear, as pairs within a component are never listed. Long
+lists are split: in round one into parts of HOT_LIST entries, in round two into parts of LIST
+entries of which every two meet in one group. No text, set, link or component reaches the
+driver; the sketch (8 MB) does.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link
 with nothing; rows of equal doc_id are one node; a null doc_id is a row without
@@ -44,6 +51,7 @@ FILTER_BITS = 23
 HOT_LIST = 100_000  # entries by the sketch's count from which on round one splits a list
 LIST = 20_000  # entries from which on round two splits a list
 SEEN = 50_000  # classes a task remembers, to list copies once
+PART_SETS, PART_ITEMS = 2_000, 1 << 20  # sets, and elements of them, from which on a component is split
 
 
 def _bitmap(h: np.ndarray) -> bytes:
@@ -66,6 +74,14 @@ def _differ_at_least(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def _trim() -> None:
+    """Gives a worker's freed memory back to the system: workers live on between stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def _described(k: int):
     """(doc_id, text) -> per row its set's size, digest and bitmap; per task its sketch in parts."""
     import pyarrow as pa
@@ -91,6 +107,7 @@ def _described(k: int):
             none = [None] * SKETCH_PARTS
             cols = (none, none, none, none, list(range(SKETCH_PARTS)), parts)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
+        _trim()
 
     return work
 
@@ -147,6 +164,7 @@ def _entries(k: int, percent: int, sketch):
                     pos.append(np.arange(length, dtype=np.int32))
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (token, doc, size, pos, salt)], names=["token", "doc_id", "size", "pos", "salt"])
+        _trim()
 
     return work
 
@@ -288,17 +306,11 @@ def _id_filter(ids: DataFrame) -> bytes:
     return total.tobytes()
 
 
-def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets reach the similarity, as edges (u, v)."""
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, sig, items): the sets of the rows of these ids, and of few others."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    side = lambda x: info.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "bits")])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "sig_a", "sig_b")
-    pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = written(pairs.mapInArrow(_bitmap_filter(percent), "a long, b long, sig_a binary, sig_b binary"), "jaccard-pairs")
-    need = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
-    needed = spark.sparkContext.broadcast(_id_filter(need))
+    needed = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
     def sets(batches):
         bits = np.frombuffer(needed.value, np.uint8)
@@ -314,9 +326,21 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, k: int, percen
             lengths = np.cumsum([0, *map(len, out)]).astype(np.int32)
             values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), values)], names=["id", "sig", "items"])
+        _trim()
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(sets, "id long, sig binary, items array<long>")
 
-    found = docs.where("doc_id IS NOT NULL").mapInArrow(sets, "id long, sig binary, items array<long>")
-    found = written(found, "jaccard-sets", "lz4")
+
+def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets reach the similarity, as edges (u, v), with the
+    number of elements that both have (shared) and that either has (joint)."""
+    spark = docs.sparkSession
+    side = lambda x: info.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "bits")])
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "sig_a", "sig_b")
+    pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    pairs = written(pairs.mapInArrow(_bitmap_filter(percent), "a long, b long, sig_a binary, sig_b binary"), "jaccard-pairs")
+    need = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
+    found = written(_sets_of(docs, need, k), "jaccard-sets", "lz4")
     if not found.groupBy("id").count().where("count > 1").isEmpty():  # rows given more than once
         repeated, found = found, written(found.dropDuplicates(["id", "sig"]), "jaccard-sets-once", "lz4")
         discard(repeated)
@@ -325,14 +349,157 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame, k: int, percen
     both = pairs.join(side("a"), ["a", "sig_a"]).join(side("b"), ["b", "sig_b"])
     shared = F.size(F.array_intersect("items_a", "items_b"))
     both = both.withColumn("shared", shared).withColumn("joint", F.size("items_a") + F.size("items_b") - F.col("shared"))
-    links = written(both.where(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+    links = written(both.where(F.col("shared") * 100 >= F.col("joint") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"), "shared", "joint"), "jaccard-links")
     discard(found, pairs)
     release(spark)
     return links
 
 
+def _within(percent: int):
+    """Sets (component, cell, mine, id, n, items), sorted by (component, cell, n, id) -> the links of
+    each cell: pairs (a, b) that reach the similarity, in a cell of two parts those across.
+
+    With the differences x = s ^ r and y = t ^ r to one set r, s ^ t is x ^ y: what s and t share
+    follows from the sets' sizes and the elements that x and y share.
+    """
+    import pyarrow as pa
+
+    names, types = ["a", "b", "shared", "joint"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def given(found):
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    def links(ids, mine, sets):
+        ids, mine = np.array(ids), np.array(mine)
+        n = np.array([len(x) for x in sets])
+        apart = [np.setxor1d(x, sets[0], assume_unique=True) for x in sets]
+        at = np.cumsum([0, *map(len, apart)])
+        elements, place = np.unique(np.concatenate(apart), return_inverse=True)
+        across = bool((mine != mine[0]).any())
+        marked = np.zeros(len(elements), np.int32)
+        found, held = [], 0
+        lows = np.searchsorted(n * 100, n * percent, "left")
+        for i in range(1, len(n)):
+            low = lows[i]
+            if low >= i:
+                continue
+            mark = place[at[i] : at[i + 1]]
+            marked[mark] = 1
+            sums = np.concatenate([[0], np.cumsum(marked[place[at[low] : at[i]]])])
+            marked[mark] = 0
+            edges = at[low : i + 1] - at[low]
+            common = sums[edges[1:]] - sums[edges[:-1]]
+            differ = (at[i + 1] - at[i]) + (edges[1:] - edges[:-1]) - 2 * common
+            shared = (n[i] + n[low:i] - differ) // 2
+            joint = n[i] + n[low:i] - shared
+            near = shared * 100 >= joint * percent
+            if across:
+                near &= mine[low:i] != mine[i]
+            j = np.flatnonzero(near)
+            if len(j):
+                other = ids[low + j]
+                found.append((np.minimum(other, ids[i]), np.maximum(other, ids[i]), shared[j], joint[j]))
+                held += len(j)
+                if held > 100_000:
+                    yield given(found)
+                    found, held = [], 0
+        if found:
+            yield given(found)
+
+    def work(batches):
+        group, both, cell = None, False, ([], [], [])
+        for batch in batches:
+            heads = zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True)
+            items, offsets = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+            for row, (component, key, mine, doc) in enumerate(heads):
+                if (component, key) != group:
+                    if len(cell[0]) > 1 and (len(set(cell[1])) > 1 or not both):
+                        yield from links(*cell)
+                    group, both, cell = (component, key), False, ([], [], [])
+                both = batch.column(6)[row].as_py()
+                if cell[0] and cell[0][-1] == doc:  # rows given more than once
+                    continue
+                for held, x in zip(cell, (doc, mine, items[offsets[row] : offsets[row + 1]].copy()), strict=True):
+                    held.append(x)
+        if len(cell[0]) > 1 and (len(set(cell[1])) > 1 or not both):
+            yield from links(*cell)
+        _trim()
+
+    return work
+
+
+def _all_links(docs: DataFrame, first: DataFrame, found: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, shared, joint), a < b: all links between representatives, from their components
+    and enough ``links`` to connect these."""
+    spark = docs.sparkSession
+    nodes = found.join(first.select(F.col("doc_id").alias("node"), "n", "sig"), "node")
+    sizes = found.join(first.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
+    parts = F.greatest(F.ceil(F.col("sets") / PART_SETS), F.ceil(F.col("elements") / PART_ITEMS))
+    many = written(sizes.where("sets > 2").select("component", parts.alias("parts")), "jaccard-many")
+    nodes = written(nodes.join(many, "component"), "jaccard-nodes-of-many")
+    sets = _sets_of(docs, nodes.select("node"), k).withColumnRenamed("id", "node")
+    sets = sets.join(nodes, ["node", "sig"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sets = sets.withColumn("cell", F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other"))
+    # a cell of two parts, of which one may be empty
+    sets = sets.select("component", "cell", "mine", "node", "n", "items", (F.pmod("cell", "parts") != F.floor(F.col("cell") / F.col("parts"))).alias("both"))
+    sets = sets.repartition("component", "cell").sortWithinPartitions("component", "cell", "n", "node")
+    among = sets.mapInArrow(_within(percent), "a long, b long, shared int, joint int")
+    # in a component of two sets, the link that connects them is the only one
+    of_many = found.join(many, "component").select(F.col("node").alias("u"))
+    alone = links.join(of_many, "u", "left_anti").select(F.col("u").alias("a"), F.col("v").alias("b"), "shared", "joint")
+    every = written(among.unionByName(alone), "jaccard-all-links")
+    discard(many, nodes)
+    release(spark)
+    return every
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links, in two tables.
+
+    links (a, b, shared, joint): every pair a < b of representatives whose sets differ and reach
+    the similarity shared / joint. A representative is the smallest doc_id of equal sets.
+    members (doc_id, n_shingles, rep, component_id, n_links), one row per row of ``docs``:
+    n_links counts the other doc_ids that a doc_id links with, those of an equal set too.
+    """
+    docs, info, first, reps, found, links = _joined(docs, k, percent)
+    every = _all_links(docs, first, found, links, k, percent)
+    size = written(reps.groupBy("rep").agg(F.count("*").alias("here")), "jaccard-class-sizes")
+    ends = every.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(every.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    there = ends.join(size.select(F.col("rep").alias("other"), F.col("here").alias("there")), "other").groupBy("rep").agg(F.sum("there").alias("there"))
+    counts = size.join(there, "rep", "left").select("rep", (F.col("here") - 1 + F.coalesce("there", F.lit(0))).alias("n_links"))
+    labels = reps.join(counts, "rep").join(found, reps.rep == found.node, "left").select("doc_id", "rep", "n_links", F.coalesce("component", "rep").alias("component"))
+    members = info.join(labels, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"),
+    )
+    return every, written(members, "jaccard-members")
+
+
+def document_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b, similarity), a < b: the links of ``jaccard_join`` between documents."""
+    of = members.where("n_links > 0").select("doc_id", "rep").distinct()
+    side = lambda x, r: of.select(F.col("doc_id").alias(x), F.col("rep").alias(r))
+    across = links.withColumnsRenamed({"a": "ra", "b": "rb"}).join(side("x", "ra"), "ra").join(side("y", "rb"), "rb")
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("shared") / F.col("joint")).alias("similarity"))
+    equal = side("a", "r").join(side("b", "r"), "r").where("a < b")
+    return across.unionByName(equal.select("a", "b", F.lit(1.0).alias("similarity")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    _, info, _, reps, found, _ = _joined(docs, k, percent)
+    labels = reps.join(found, reps.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    return info.join(labels, "doc_id", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, ...]:
+    """docs (doc_id, text); info of every row; first, that of representatives; reps (doc_id, rep);
+    found (node, component) of representatives with a link; links (u, v, shared, joint) that
+    connect the components, among them all links of components of two."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(docs.mapInArrow(_described(k), "doc_id long, n long, sig binary, bits binary, part int, counts binary"), "jaccard-sets-of-rows")
@@ -383,12 +550,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     discard(labelled)
     more = _verified(docs, first, across, k, percent)
     if not more.isEmpty():
-        found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "jaccard-components")
+        found = written(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more.select("u", "v"))), "jaccard-components")
     release(spark)
-    labels = reps.join(found, reps.rep == found.node, "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    return info.join(labels, "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    return docs, info, first, reps, found, links.unionByName(more)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -10,7 +10,8 @@ from linkwell.llm.runtime import documents
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(documents(spark, sf_dir), k=4, percent=85)
+    _, members = jaccard.jaccard_join(documents(spark, sf_dir), k=4, percent=85)
+    return members.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

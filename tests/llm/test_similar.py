@@ -75,6 +75,29 @@ def test_split_lists_lose_no_link(make, monkeypatch):
     assert got == brute(rows, 2, 70)
 
 
+def brute_links(rows, k, percent):
+    s = {d: x for d, x in sets(rows, k).items() if x}
+    return {(a, b): len(s[a] & s[b]) / len(s[a] | s[b]) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])}
+
+
+@pytest.mark.parametrize(("k", "percent", "part"), [(4, 85, 2000), (1, 50, 2000), (2, 70, 3)])
+def test_every_link_is_found_and_counted(make, monkeypatch, k, percent, part):
+    monkeypatch.setattr(jaccard, "PART_SETS", part)
+    monkeypatch.setattr(jaccard, "HOT_LIST", 3 if part == 3 else jaccard.HOT_LIST)
+    rows = near_copies(k, 250)
+    rows += [(1000 + i, t) for i, t in rows[:30]] + [rows[3], rows[40]]
+    want, n = brute_links(rows, k, percent), Counter()
+    for pair in want:
+        n.update(pair)
+    links, members = jaccard.jaccard_join(make(rows), k, percent)
+    got = [((r.a, r.b), r.similarity) for r in jaccard.document_links(links, members).collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+    members = members.collect()
+    assert len(members) == len(rows) and {r.doc_id: r.n_links for r in members} == {d: n[d] for d, _ in rows}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in members} == brute(rows, k, percent)
+    assert max(n.values()) > 3
+
+
 def test_join_on_the_smallest_table(spark, small):
     from linkwell.llm.queries import QUERIES
 
