@@ -183,6 +183,12 @@ def to_words(bits: Column, config: LinkageConfig = DEFAULT) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(config.bits // 64 - 1)), word)
 
 
+def signed_words(chunks: Column) -> Column:
+    """Words as decimal(20,0) -> the same bits as signed bigints."""
+    top = F.lit("18446744073709551616").cast("decimal(20,0)")
+    return F.transform(chunks, lambda c: F.when(c > F.lit("9223372036854775807").cast("decimal(20,0)"), c - top).otherwise(c).cast("long"))
+
+
 def pack_bytes(bits: Column, length: int) -> Column:
     """Bytes, least significant bit first."""
     byte = lambda c: F.aggregate(F.filter(bits, lambda b: F.shiftright(b, 3) == c), F.lit(0), lambda a, b: a + F.pow(F.lit(2), b % 8).cast("int"))

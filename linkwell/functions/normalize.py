@@ -22,18 +22,31 @@ FOLD_TO_TWO = {"Þ": "TH", "þ": "TH"}
 SPACE = "\\x09-\\x0D\\x20"
 
 
-def _accents() -> tuple[str, str]:
-    """Letters that decompose into one base character and combining marks, by rule, and their bases."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
-
-
-ACCENT_FROM, ACCENT_TO = _accents()
-COMBINING = "[\\u0300-\\u036F]"
+def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
+    """By rule, of all of Unicode: characters whose decomposition without combining marks has letters
+    or digits that names are compared by, as one base character or as several; and a class of
+    all combining marks."""
+    one, several, marks = {}, {}, []
+    for code in range(0x80, 0x20000):  # beyond, neither is assigned
+        c = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        if unicodedata.combining(c):
+            if marks and marks[-1][1] == code - 1:
+                marks[-1][1] = code
+            else:
+                marks.append([code, code])
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if base != c and any(x.isascii() and x.isalnum() for x in base.upper()):
+            (one if len(base) == 1 else several)[c] = base
+    return one, several, "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in marks)
+
+
+ONE, SEVERAL, MARKS = _decompositions()
+ACCENT_FROM, ACCENT_TO = "".join(ONE), "".join(ONE.values())
+COMBINING = f"[{MARKS}]"
+_SEVERAL_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in SEVERAL) + "]"
 
 
 def is_blank(name: Column) -> Column:
@@ -83,7 +96,12 @@ def fix_mojibake(name: Column) -> Column:
 
 
 def strip_diacritics(name: Column) -> Column:
-    return F.regexp_replace(F.translate(name, ACCENT_FROM, ACCENT_TO), COMBINING, "")
+    """Characters of all of Unicode without their marks, as far as names are compared by them."""
+    plain = F.regexp_replace(F.translate(name, ACCENT_FROM, ACCENT_TO), COMBINING, "")
+    table = F.create_map(*[F.lit(x) for pair in SEVERAL.items() for x in pair])
+    spelt = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    plain = F.when(plain.rlike(_SEVERAL_CLASS), spelt).otherwise(plain)
+    return F.when(name.rlike("[^\\x00-\\x7F]"), plain).otherwise(name)
 
 
 def normalize_for_evaluation(name: Column) -> Column:

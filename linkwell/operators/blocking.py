@@ -87,18 +87,21 @@ def candidates(met: DataFrame) -> DataFrame:
 def numbered(pairs: DataFrame) -> DataFrame:
     """Candidates with dense ids from 0, in the order of round and indices.
 
-    Ids are dense in two steps, numbers within a round after the counts of earlier rounds,
-    within a round by ranges of a_idx: no task sees all pairs.
+    Ids are dense in three steps: after the counts of earlier rounds, in a round after those of earlier
+    ranges of a_idx, then in order. No task sees all pairs, or all ranges.
     """
     width = 4096
     cell = F.expr(f"a_idx div {width}")
     pairs = pairs.withColumn("cell", cell)
     counts = pairs.groupBy("round", "cell").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(1)).orderBy("round", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("round", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows_before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rounds = counts.groupBy("round").agg(F.sum("n").alias("n"))  # a row a round
+    rounds = rounds.select("round", F.coalesce(F.sum("n").over(rows_before(Window.orderBy("round"))), F.lit(0)).alias("round_base"))
+    cell_base = F.coalesce(F.sum("n").over(rows_before(Window.partitionBy("round").orderBy("cell"))), F.lit(0))
+    counts = counts.select("round", "cell", cell_base.alias("cell_base")).join(F.broadcast(rounds), "round")
     inside = Window.partitionBy("round", "cell").orderBy("a_idx", "b_idx")
     rows = pairs.withColumn("no", F.row_number().over(inside) - 1).join(counts, ["round", "cell"])
-    return rows.select((F.col("base") + F.col("no")).cast("long").alias("candidate_id"), "round", "a_idx", "b_idx")
+    return rows.select((F.col("round_base") + F.col("cell_base") + F.col("no")).cast("long").alias("candidate_id"), "round", "a_idx", "b_idx")
 
 
 def candidate_pairs(records: DataFrame, n: int, config: LinkageConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -72,6 +72,31 @@ def expected(fuzzy: DataFrame) -> DataFrame:
     return fuzzy.where(~is_blank(F.col("name")) & ~is_blank(F.col("fuzzy_name")))
 
 
+def default_n(matches: DataFrame) -> DataFrame:
+    """(n_records), one row: the largest index of either side and one more; 0 without matches."""
+    return matches.agg(F.coalesce(F.max(F.greatest("a_idx", "b_idx")) + 1, F.lit(0)).alias("n_records"))
+
+
+def positional(clean: DataFrame, fuzzy: DataFrame, n: DataFrame) -> DataFrame:
+    """Both sides' rows by position, from 0 to n - 1; a missing row is blank.
+
+    clean: (idx, name, record_id); fuzzy: (idx, fuzzy_name, original_name, error_type, is_noisy).
+    """
+    rows = n.where("n_records > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1)).alias("idx"))
+    blank = lambda df, skip: [F.coalesce(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes if c != skip]
+    both = rows.join(clean, "idx", "left").join(fuzzy, "idx", "left")
+    return both.select("idx", *blank(clean, "idx"), *blank(fuzzy, "idx"))
+
+
+def missed_of_files(clean: DataFrame, fuzzy: DataFrame, matches: DataFrame, n: DataFrame | None = None) -> DataFrame:
+    """Expected records that were not opened with themselves, in the order of positions, of ``n``
+    (n_records) or by default as many records as the matches name."""
+    rows = positional(clean, fuzzy, default_n(matches) if n is None else n)
+    found = missed(rows, matches)
+    more = rows.select("idx", "record_id", "original_name")
+    return found.join(more, "idx").select("idx", "record_id", "clean_name", "fuzzy_name", "original_name", *found.columns[3:]).orderBy("idx")
+
+
 def missed(fuzzy: DataFrame, matches: DataFrame) -> DataFrame:
     """Expected records that were not opened with themselves, with their names' keys."""
     opened = matches.where(F.col("a_idx") == F.col("b_idx")).select(F.col("a_idx").alias("idx")).distinct()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from linkwell.config import DEFAULT, LinkageConfig
 from linkwell.functions.distance import hamming, hamming_words, masked
-from linkwell.functions.encode import to_chunks, to_words
+from linkwell.functions.encode import signed_words, to_chunks, to_words
+from linkwell.operators import shares
+from linkwell.operators.blocking import expanded
 
 
 def with_payloads(pairs: DataFrame, enc: DataFrame) -> DataFrame:
@@ -26,9 +28,31 @@ def matches(pairs: DataFrame, enc: DataFrame, config: LinkageConfig = DEFAULT) -
     return near.select("round", "a_idx", "a_name", "b_idx", "b_name", F.lit(0).cast("long").alias("proj_dist"), "payload_dist")
 
 
-def share_dump(found: DataFrame, config: LinkageConfig = DEFAULT) -> DataFrame:
-    """Matches with the number of verified shares: one for each bit of a vector."""
-    return found.select("round", "a_idx", "a_name", "b_idx", "b_name", "proj_dist", "payload_dist", F.lit(config.bits).cast("long").alias("verified_share_count"))
+def share_dump(found: DataFrame, party: int = 0, config: LinkageConfig = DEFAULT) -> DataFrame:
+    """Matches with the number of a party's verified shares of the vectors' exclusive or, one for each
+    bit; fails where one is not verified.
+
+    Shares depend on the bit and the round: one of a 0 and one of a 1 are made and
+    verified, and count for the ``bits - payload_dist`` zeros and the ``payload_dist`` ones.
+    """
+    columns = ["round", "a_idx", "a_name", "b_idx", "b_name", "proj_dist", "payload_dist"]
+    rows = found.select(*columns)
+    for bit in (0, 1):
+        made = shares.share(rows.withColumn("bit", F.lit(bit).cast("long")), "bit", "round")
+        valid = shares.verified(F.col(f"s{party}_value"), F.col(f"s{party}_mac"), F.col(f"s{party}_key_id"), F.col("round"))
+        rows = made.select(*rows.columns, valid.alias(f"valid{bit}"))
+    ones = F.col("payload_dist").cast("long")
+    count = F.when(F.col("valid0"), config.bits - ones).otherwise(0) + F.when(F.col("valid1"), ones).otherwise(0)
+    checked = F.when(count == config.bits, count).otherwise(F.raise_error(F.lit("a share was not verified")))
+    return rows.select(*columns, checked.cast("long").alias("verified_share_count"))
+
+
+def round_matches(met: DataFrame, found: DataFrame, config: LinkageConfig = DEFAULT) -> DataFrame:
+    """(round, n_matches): in each round the pairs of its buckets that are matches, found before or not."""
+    pairs = expanded(met).select("round", "a_idx", "b_idx").join(found.select("a_idx", "b_idx"), ["a_idx", "b_idx"])
+    rounds = met.sparkSession.range(config.rounds).select(F.col("id").alias("round"))
+    counts = pairs.groupBy("round").agg(F.count("*").alias("n"))
+    return rounds.join(counts, "round", "left").select("round", F.coalesce("n", F.lit(0)).alias("n_matches"))
 
 
 def require_known(pairs: DataFrame, enc: DataFrame) -> None:
@@ -46,11 +70,25 @@ def manifest(ids: DataFrame, enc: DataFrame) -> DataFrame:
     return rows.select("candidate_id", "round", "a_idx", "a_name", "b_idx", "b_name", F.lit(0).cast("long").alias("proj_dist"))
 
 
-def party_inputs(ids: DataFrame, enc: DataFrame, party: int, config: LinkageConfig = DEFAULT) -> DataFrame:
-    """(candidate_id, active, chunks): one party's vectors, in the order of the candidates."""
+def party_inputs(ids: DataFrame, enc: DataFrame, party: int, config: LinkageConfig = DEFAULT, slots: int | None = None) -> DataFrame:
+    """(candidate_id, active, chunks): one party's vectors, in the order of the candidates; with ``slots``,
+    as many rows, those without a candidate not active and zero."""
     x = "ab"[party]
-    rows = ids.join(enc.where(F.col("party") == party).select(F.col("idx").alias(f"{x}_idx"), "bits"), f"{x}_idx")
-    return rows.select("candidate_id", F.lit(True).alias("active"), to_chunks(F.col("bits"), config).alias("chunks")).orderBy("candidate_id")
+    rows = ids.join(enc.where(F.col("party") == party).select(F.col("idx").alias(f"{x}_idx"), "bits"), f"{x}_idx").select("candidate_id", "bits")
+    if slots is not None:
+        rows = enc.sparkSession.range(slots).select(F.col("id").alias("candidate_id")).join(rows, "candidate_id", "left")
+    bits = F.coalesce("bits", F.array().cast("array<long>"))
+    return rows.select("candidate_id", F.col("bits").isNotNull().alias("active"), to_chunks(bits, config).alias("chunks")).orderBy("candidate_id")
+
+
+def revealed_slots(inputs0: DataFrame, inputs1: DataFrame, config: LinkageConfig = DEFAULT) -> DataFrame:
+    """(candidate_id, active, is_match) of both parties' inputs: a slot matches if both have it active and
+    their vectors are within the threshold."""
+    side = lambda rows, x: rows.select("candidate_id", F.col("active").alias(f"active_{x}"), signed_words(F.col("chunks")).alias(f"words_{x}"))
+    rows = side(inputs0, "a").join(side(inputs1, "b"), "candidate_id")
+    active = F.col("active_a") & F.col("active_b")
+    near = hamming_words(F.col("words_a"), F.col("words_b")) <= config.threshold
+    return rows.select("candidate_id", active.alias("active"), (active & near).alias("is_match"))
 
 
 def revealed(ids: DataFrame, enc: DataFrame, config: LinkageConfig = DEFAULT) -> DataFrame:
@@ -83,12 +121,20 @@ def exact_pairs(enc: DataFrame, config: LinkageConfig = DEFAULT) -> DataFrame:
     Two vectors within d differ in at most d bits, so among d + 1 parts of the positions
     one part is equal in both: an equi-join per part finds every pair, exactly.
     """
-    parts = config.threshold + 1
+    d, parts = config.threshold, config.threshold + 1
     # bits are hashes already; the parts take every (d + 1)th
     part = lambda k: F.array_join(F.filter("bits", lambda b: b % parts == k), ",")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(config.threshold)), part)
-    rows = enc.select("party", "idx", F.posexplode(keys).alias("part", "key")).withColumn("key", F.md5("key"))
-    side = lambda p, x: rows.where(F.col("party") == p).select("part", "key", F.col("idx").alias(f"{x}_idx"))
-    pairs = side(0, "a").join(side(1, "b"), ["part", "key"]).select("a_idx", "b_idx").distinct()
+    keys = F.transform(F.sequence(F.lit(0), F.lit(d)), part)
+    rows = enc.select("party", "idx", "bits", F.size("bits").cast("long").alias("n"), F.posexplode(keys).alias("part", "key"))
+    # of vectors of few bits many parts are empty. Such a part says nothing, so there the first d + 1 bits in one
+    # order are keys too: vectors within d share one, unless both have d bits at most; and so are numbers of bits
+    first = F.slice(F.array_sort(F.transform("bits", lambda b: F.struct(F.xxhash64(b).alias("h"), b.alias("b")))), 1, parts)
+    first = F.concat(F.transform(first, lambda x: x["b"]), F.when(F.col("n") <= d, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
+    none, empty = F.array(F.lit(-1).cast("long")), F.col("key") == ""
+    rows = rows.select("party", "idx", "part", "n", "key", F.explode(F.when(empty, first).otherwise(none)).alias("second"))
+    near = F.when(empty, F.sequence(F.col("n") - d, F.col("n") + d)).otherwise(none)
+    left = rows.where("party = 0").select("part", F.md5("key").alias("key"), "second", F.col("idx").alias("a_idx"), F.explode(near).alias("band"))
+    right = rows.where("party = 1").select("part", F.md5("key").alias("key"), "second", F.col("idx").alias("b_idx"), F.when(empty, F.col("n")).otherwise(-1).cast("long").alias("band"))
+    pairs = left.join(right, ["part", "key", "second", "band"]).select("a_idx", "b_idx").distinct()
     found = with_payloads(pairs, enc).select("a_idx", "b_idx", hamming(F.col("a_bits"), F.col("b_bits")).alias("payload_dist"))
     return found.where(F.col("payload_dist") <= config.threshold)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linkwell.config import DEFAULT, LinkageConfig
 from linkwell.functions.encode import masks
@@ -70,6 +72,24 @@ class Linkage:
     def matches(self) -> DataFrame:
         return verify.matches(self.candidates, self.encoded, self.config)
 
+    def timed(self, rounds: int | None = None) -> DataFrame:
+        """(round, n_matches, seconds): each round matched on its own, on tables that are read once.
+
+        The driver's clock, so other work on the cluster counts.
+        """
+        enc = self.encoded.persist()
+        try:
+            enc.count()
+            rows = []
+            for r in range(self.config.rounds if rounds is None else rounds):
+                began = time.perf_counter()
+                met = blocking.meetings(blocking.capped(blocking.projections(enc, self.masks, self.config).where(F.col("round") == r), self.config))
+                n = verify.matches(blocking.candidates(met), enc, self.config).count()
+                rows.append((r, n, time.perf_counter() - began))
+            return self.spark.createDataFrame(rows, "round bigint, n_matches bigint, seconds double")
+        finally:
+            enc.unpersist()
+
     @property
     def classified(self) -> DataFrame:
         return evaluate.classified(self.matches, self.config)

@@ -12,7 +12,7 @@ from linkwell.functions import distance, encode, normalize, records, words64
 from linkwell.operators import blocking, evaluate, shares, synth, verify
 from linkwell.plans import oracle as o
 from linkwell.plans.pipeline import Linkage
-from linkwell.sources import names
+from linkwell.sources import names, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,20 +117,28 @@ def bit_strings(x: Linkage) -> DataFrame:
     return rows.withColumn("back", encode.from_binary_string(F.col("text")))
 
 
-@query(o.query("words64", "SELECT party, idx, list_transform(chunks, lambda c: CAST(c AS DECIMAL(20,0))) AS chunks FROM words64"))
+def _texts(chunks: str):
+    """Unsigned 64-bit numbers as texts, which any engine compares."""
+    return F.transform(chunks, lambda c: c.cast("string")).alias("chunks")
+
+
+_TEXTS = "list_transform(chunks, lambda c: CAST(c AS VARCHAR)) AS chunks"
+
+
+@query(o.query("words64", f"SELECT party, idx, {_TEXTS} FROM words64"))
 def u64_chunks(x: Linkage) -> DataFrame:
-    return x.encoded.select("party", "idx", encode.to_chunks(F.col("bits")).alias("chunks"))
+    return x.encoded.select("party", "idx", encode.to_chunks(F.col("bits")).alias("chunks")).withColumn("chunks", _texts("chunks"))
 
 
 @query(
     o.query(
         "ids enc words64 paired",
-        f"SELECT candidate_id, d <= {DEFAULT.threshold} AS is_match, list_transform(chunks, lambda c: CASE WHEN d <= {DEFAULT.threshold} THEN CAST(c AS DECIMAL(20,0)) ELSE 0 END) AS chunks FROM paired JOIN words64 w ON w.party = 0 AND w.idx = a_idx",
+        f"SELECT candidate_id, d <= {DEFAULT.threshold} AS is_match, list_transform(chunks, lambda c: CASE WHEN d <= {DEFAULT.threshold} THEN CAST(c AS VARCHAR) ELSE '0' END) AS chunks FROM paired JOIN words64 w ON w.party = 0 AND w.idx = a_idx",
     )
 )
 def vmask(x: Linkage) -> DataFrame:
     rows = verify.with_payloads(x.numbered, x.encoded).withColumn("is_match", distance.hamming(F.col("a_bits"), F.col("b_bits")) <= DEFAULT.threshold)
-    return verify.masked_payloads(rows.select("candidate_id", "is_match", encode.to_chunks(F.col("a_bits")).alias("chunks")), "is_match", "chunks")
+    return verify.masked_payloads(rows.select("candidate_id", "is_match", encode.to_chunks(F.col("a_bits")).alias("chunks")), "is_match", "chunks").withColumn("chunks", _texts("chunks"))
 
 
 # -- blocking
@@ -203,9 +211,22 @@ def batch_slices(x: Linkage) -> DataFrame:
     return verify.batches(x.numbered)
 
 
-@query(o.query("ids words64", "SELECT candidate_id, true AS active, list_transform(chunks, lambda c: CAST(c AS DECIMAL(20,0))) AS chunks FROM ids JOIN words64 ON party = 1 AND idx = b_idx"))
+@query(o.query("ids words64", f"SELECT candidate_id, true AS active, {_TEXTS} FROM ids JOIN words64 ON party = 1 AND idx = b_idx"))
 def party_inputs(x: Linkage) -> DataFrame:
-    return verify.party_inputs(x.numbered, x.encoded, 1)
+    return verify.party_inputs(x.numbered, x.encoded, 1).withColumn("chunks", _texts("chunks"))
+
+
+@query(
+    o.query(
+        "paired",
+        f"SELECT range AS candidate_id, d IS NOT NULL AS active, coalesce(d <= {DEFAULT.threshold}, false) AS is_match "
+        f"FROM (SELECT unnest(range((count(*) + {DEFAULT.batch_size - 1}) // {DEFAULT.batch_size} * {DEFAULT.batch_size})) AS range FROM paired) LEFT JOIN paired ON candidate_id = range",
+    )
+)
+def active_slots(x: Linkage) -> DataFrame:
+    ids = x.numbered
+    slots = -(-ids.count() // DEFAULT.batch_size) * DEFAULT.batch_size  # whole batches
+    return verify.revealed_slots(*[verify.party_inputs(ids, x.encoded, p, slots=slots) for p in (0, 1)])
 
 
 _LE = "(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))"
@@ -246,6 +267,17 @@ def share_dump(x: Linkage) -> DataFrame:
     return verify.share_dump(x.matches)
 
 
+@query(o.query("expanded matches", f"SELECT r.range AS round, count(m.a_idx) AS n_matches FROM range({DEFAULT.rounds}) r LEFT JOIN (SELECT e.round, e.a_idx FROM expanded e JOIN matches USING (a_idx, b_idx)) m ON m.round = r.range GROUP BY r.range"))
+def round_matches(x: Linkage) -> DataFrame:
+    return verify.round_matches(x.meetings, x.matches)
+
+
+_QUOTED = """'"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"'"""
+
+
+@query(o.query("matches", f"SELECT concat_ws(',', round, a_idx, {_QUOTED.format(x='a_name')}, b_idx, {_QUOTED.format(x='b_name')}, proj_dist, payload_dist) AS value FROM matches"))
+def opened_lines(x: Linkage) -> DataFrame:
+    return sinks.opened_lines(x.matches)
 
 @query(o.query("paired", f"SELECT candidate_id, d AS distance, d <= {DEFAULT.threshold} AS is_match FROM paired"))
 def popcount_filter(x: Linkage) -> DataFrame:
@@ -324,6 +356,24 @@ def missed_true_matches(x: Linkage) -> DataFrame:
     return x.missed
 
 
+@query(o.query("matches", "SELECT max(greatest(a_idx, b_idx)) + 1 AS n_records FROM matches"))
+def default_records(x: Linkage) -> DataFrame:
+    return evaluate.default_n(x.matches)
+
+
+@query(
+    o.query(
+        "missed matches",
+        "SELECT m.idx, 'N' || lpad(CAST(m.idx + 1 AS VARCHAR), 8, '0') AS record_id, clean_name, m.fuzzy_name, clean_name AS original_name, m.error_type, m.is_noisy, clean_norm, fuzzy_norm, clean_sorted_key, fuzzy_sorted_key "
+        "FROM missed m WHERE m.idx <= (SELECT max(greatest(a_idx, b_idx)) FROM matches)",
+    )
+)
+def missed_of_files(x: Linkage) -> DataFrame:
+    clean = x.clean.select("idx", "name", names.record_id_of(F.col("idx")).alias("record_id"))
+    fuzzy = x.fuzzy.select("idx", "fuzzy_name", F.col("name").alias("original_name"), "error_type", "is_noisy")
+    return evaluate.missed_of_files(clean, fuzzy, x.matches)
+
+
 _RATIO = "coalesce(round({a} / nullif({b}, 0), 6), 0)"
 _HARMONIC = "coalesce(round(2 * {p} * {r} / nullif({p} + {r}, 0), 6), 0)"
 
@@ -361,6 +411,31 @@ def error_type_counts(x: Linkage) -> DataFrame:
     return synth.error_types(x.fuzzy)
 
 
+@query(o.query("clean", f"SELECT idx, name FROM clean WHERE idx < {DEFAULT.row_limit // 4}"))
+def row_limit(x: Linkage) -> DataFrame:
+    return names.limited(x.clean, DEFAULT.row_limit // 4)
+
+
+@query(o.query("clean", "SELECT idx, name || ' É' AS fixed FROM clean"))
+def undo_mojibake(x: Linkage) -> DataFrame:
+    broken = F.decode(F.encode(F.concat("name", F.lit(" É")), "UTF-8"), "ISO-8859-1")
+    return x.clean.select("idx", normalize.fix_mojibake(broken).alias("fixed"))
+
+
+@query(o.query("enc", "SELECT party, idx, array_to_string(list_transform(range(256), lambda c: lpad(hex(CAST(list_sum(list_prepend(0, list_transform(list_filter(bits, lambda b: b // 8 = c), lambda b: CAST(pow(2, b % 8) AS INTEGER)))) AS BIGINT)), 2, '0')), '') AS packed, bits AS back FROM enc"))
+def packed_bytes(x: Linkage) -> DataFrame:
+    rows = x.encoded.select("party", "idx", encode.pack_bytes(F.col("bits"), DEFAULT.bits).alias("body"))
+    return rows.select("party", "idx", F.hex("body").alias("packed"), encode.unpack_bytes(F.col("body"), DEFAULT.bits).alias("back"))
+
+
+@table_query("SELECT n_name AS country, c_name AS localised_name, c_mktsegment AS romanised_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0")
+def names_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # headers as lists have them, cells with spaces, and some without a name
+    named = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit(" "), F.col("c_name")))
+    return names.names_by_country(rows.select(F.col("n_name").alias("Country"), named.alias(" Localized Name"), F.col("c_mktsegment").alias("ROMANISED NAME"), "c_acctbal"))
+
+
 @query(o.query("clean", "SELECT idx, 'N' || lpad(CAST(idx + 1 AS VARCHAR), 8, '0') AS record_id, idx AS back FROM clean"))
 def record_ids(x: Linkage) -> DataFrame:
     rows = x.clean.select("idx", names.record_id_of(F.col("idx")).alias("record_id"))

@@ -135,3 +135,21 @@ def test_near_tokens_against_a_model(spark):
 
     check()
     assert near(["BARBARA", "OLIVIA"], ["OLIVIE", "BARBARA"])
+
+
+def test_marks_of_all_of_unicode(spark):
+    """Every assigned character, as names are compared: decomposed, without combining marks."""
+    import re
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    plain = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
+    key = lambda s: " ".join(re.sub("[^A-Z0-9]+", " ", s.upper()).split())
+    step = 200
+    rows = [(i, "".join(f"x{c}y " for c in chars[i : i + step])) for i in range(0, len(chars), step)]
+    from linkwell.functions import normalize
+
+    df = spark.createDataFrame(rows, "i int, s string").select("i", normalize.strip_diacritics(F.col("s")).alias("s"))
+    got = {r.i: r.s for r in df.collect()}
+    for i, s in rows:
+        assert key(got[i]) == key(plain(s)), i

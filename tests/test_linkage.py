@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from linkwell.config import LinkageConfig
+from linkwell.config import DEFAULT
 from linkwell.functions import encode
 from linkwell.operators import blocking, evaluate, synth, verify
 from linkwell.plans import registry
@@ -145,14 +145,15 @@ def test_stream_equals_batch(spark, tmp_path, linkage):
     clean = linkage.clean.where("idx < 60")
     matching.known_blocks(clean, linkage.masks).write.parquet(str(tmp_path / "blocks"))
     arrivals = linkage.fuzzy.where("idx < 60").select("idx", F.col("fuzzy_name").alias("name"))
-    arrivals.repartition(2).write.parquet(str(tmp_path / "in"))
+    arrivals.repartition(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("idx bigint, name string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = matching.match_stream(stream, spark.read.parquet(str(tmp_path / "blocks")), linkage.masks, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     got = {(r.a_idx, r.b_idx) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    uncapped = LinkageConfig(representatives=1000)
-    enc, pairs = blocking.candidate_pairs(names.records(clean, arrivals), linkage.n, uncapped)
-    assert got == {(r.a_idx, r.b_idx) for r in verify.matches(pairs, enc, uncapped).collect()}
+    enc, pairs = blocking.candidate_pairs(names.records(clean, arrivals), linkage.n)
+    assert got == {(r.a_idx, r.b_idx) for r in verify.matches(pairs, enc).collect()}
+    hot = spark.createDataFrame([(i, "ONE NAME") for i in range(50)], "idx bigint, name string")
+    assert matching.known_blocks(hot, linkage.masks).groupBy("round", "key_hash").count().agg(F.max("count")).first()[0] == 3
     assert encode.hash_unit_of("a", 1) < 1 << 32
 
 
@@ -200,3 +201,86 @@ def test_fixed_width_forms(spark, tmp_path, linkage):
     verify.require_known(linkage.candidates, linkage.encoded)
     with pytest.raises(ValueError, match="party 1"):
         verify.require_known(spark.createDataFrame([(0, -5)], "a_idx bigint, b_idx bigint"), linkage.encoded)
+
+
+def test_opened_matches_in_files(spark, tmp_path, linkage):
+    odd = [(0, 1, 'say "hi", \\ x', 2, "", 0, 3), (5, 7, "plain", 7, "O'C, \\\\ ,\\\"", 0, -1)]
+    rows = spark.createDataFrame(odd, "round bigint, a_idx bigint, a_name string, b_idx bigint, b_name string, proj_dist bigint, payload_dist bigint")
+    for df in (rows.repartition(2), linkage.matches, rows.limit(0)):
+        path = str(tmp_path / "opened")
+        sinks.write_opened(df, path)
+        assert sorted(map(tuple, sinks.read_opened(spark, path).collect())) == sorted(tuple(r) for r in df.select(*sinks.OURS).collect())
+    sinks.write_opened(rows.limit(1).coalesce(1), path)
+    (part,) = [p for p in (tmp_path / "opened").iterdir() if p.suffix == ".csv"]
+    assert part.read_text().split("\n")[:2] == ["round,party0_index,party0_name,party1_index,party1_name,proj_dist,payload_dist", '0,1,"say \\"hi\\", \\\\ x",2,"",0,3']
+    (tmp_path / "plain.csv").write_text('round,party0_index,party0_name,party1_index,party1_name,proj_dist,payload_dist\n1,2,A B,3,"C ""D"", E",0,-1\n')
+    assert tuple(sinks.read_opened(spark, str(tmp_path / "plain.csv")).first()) == (1, 2, "A B", 3, 'C "D", E', 0, -1)
+    (tmp_path / "bad.csv").write_text("1,2,A B,3\n")
+    with pytest.raises(Exception, match="not a line"):
+        sinks.read_opened(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_inputs_are_checked(spark, tmp_path):
+    assert sinks.matched_ids(spark, str(tmp_path / "none")).collect() == []
+    lines = DEFAULT.bits // DEFAULT.chunk_bits + 1
+    for name, n in (("p0", 2 * lines), ("p1", 2 * lines), ("short", 5)):
+        (tmp_path / name).write_text("1\n" * n)
+    path = lambda *names: [str(tmp_path / n) for n in names]
+    sinks.require_inputs(spark, path("p0", "p1"), 2)
+    with pytest.raises(ValueError, match="mismatch"):
+        sinks.require_inputs(spark, path("p0", "short"), 2)
+    with pytest.raises(FileNotFoundError, match="none"):
+        sinks.require_inputs(spark, path("p0", "none"), 2)
+
+
+def test_positions_of_files(spark, tmp_path):
+    path = tmp_path / "names.csv"
+    path.write_text("x,full_name\n" + "".join(f"{i},{'' if i % 9 == 0 else f'name {i}'}\n" + "\n" * (i % 50 == 0) for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = sorted(map(tuple, names.read_names(spark, str(path), "full_name").collect()))
+        few = names.read_names(spark, str(path), "full_name", 2000)
+        assert few.count() == 2000 and few.agg(F.max("idx")).first()[0] == 1999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, "" if i % 9 == 0 else f"name {i}") for i in range(5000)]
+
+
+def test_missed_rows_of_files(spark):
+    clean = spark.createDataFrame([(0, "A B", "N1"), (1, "C D", "N2"), (2, "", "N3"), (4, "E F", "N5")], "idx bigint, name string, record_id string")
+    fuzzy = spark.createDataFrame([(i, n, n, "none", False) for i, n in ((0, "A B"), (1, "C X"), (2, "Y"), (4, "E G"), (5, "Z"))], "idx bigint, fuzzy_name string, original_name string, error_type string, is_noisy boolean")
+    found = spark.createDataFrame([(0, 0), (4, 1)], "a_idx bigint, b_idx bigint")
+    assert evaluate.default_n(found).first()[0] == 5 and evaluate.default_n(found.limit(0)).first()[0] == 0
+    got = evaluate.missed_of_files(clean, fuzzy, found)
+    assert [(r.idx, r.record_id, r.clean_name, r.fuzzy_name, r.original_name) for r in got.collect()] == [(1, "N2", "C D", "C X", "C X"), (4, "N5", "E F", "E G", "E G")]
+    n = spark.createDataFrame([(4,)], "n_records bigint")
+    assert [r.idx for r in evaluate.missed_of_files(clean, fuzzy, found, n).collect()] == [1]
+
+
+def test_exact_pairs_of_short_vectors(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    rows = [(p, i, f"n{i}", sorted(rng.sample(range(40), rng.randrange(0, 9)))) for p in (0, 1) for i in range(150)]
+    enc = spark.createDataFrame(rows, "party bigint, idx bigint, name string, bits array<bigint>")
+    got = {(r.a_idx, r.b_idx, r.payload_dist) for r in verify.exact_pairs(enc).collect()}
+    sides = [[(i, set(b)) for p, i, _, b in rows if p == side] for side in (0, 1)]
+    assert got == {(i, j, len(a ^ b)) for (i, a), (j, b) in itertools.product(*sides) if len(a ^ b) <= 4}
+
+
+def test_unverified_shares_fail(spark, linkage, monkeypatch):
+    from linkwell.operators import shares
+
+    few = linkage.matches.limit(3)
+    assert {r.verified_share_count for r in verify.share_dump(few, party=1).collect()} == {2048}
+    monkeypatch.setattr(shares, "verified", lambda value, *_: value == 0)
+    with pytest.raises(Exception, match="not verified"):
+        verify.share_dump(few).collect()
+
+
+def test_times_of_rounds(linkage):
+    rows = linkage.timed(rounds=2).collect()
+    counts = {r.round: r.n_matches for r in verify.round_matches(linkage.meetings, linkage.matches).collect()}
+    assert [(r.round, r.n_matches) for r in rows] == [(0, counts[0]), (1, counts[1])] and all(r.seconds > 0 for r in rows)
