@@ -10,8 +10,7 @@ from linkwell.llm.runtime import documents
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, members = jaccard.jaccard_join(documents(spark, sf_dir), k=4, percent=85)
-    return members.select("doc_id", "n_shingles", "component_id")
+    return jaccard.jaccard_join(documents(spark, sf_dir), k=4, percent=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +76,11 @@ WITH RECURSIVE worded AS (
   SELECT u, u AS v FROM edges UNION SELECT r.u, e.v FROM reached r JOIN edges e ON r.v = e.u
 ), least_of AS (
   SELECT u, min(v) AS m FROM reached GROUP BY u
+), degrees AS (
+  SELECT u AS d, count(*) AS n_links FROM edges GROUP BY u
 )
-SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id FROM worded LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON u = doc_id
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM worded LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON u = doc_id LEFT JOIN degrees ON d = doc_id
 """
 
 ORACLE_REPEATS = """

@@ -10,12 +10,15 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linkwell.sources.names import spread
 
 _local: dict[str, str] = {}
+_released = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,7 +68,12 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs (it does so when the driver's
-    references are collected), so that disk use follows one step and not their sum."""
+    references are collected), so that disk use follows one step and not their sum. Steps of
+    a few seconds leave theirs to the next call."""
+    global _released
+    if time.monotonic() < _released + 3:
+        return
+    _released = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -75,5 +83,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, followed by as many _ as no taken name is like it (Spark ignores case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -89,15 +89,51 @@ def test_every_link_is_found_and_counted(make, monkeypatch, k, percent, part):
     want, n = brute_links(rows, k, percent), Counter()
     for pair in want:
         n.update(pair)
-    links, members = jaccard.jaccard_join(make(rows), k, percent)
+    links, members = jaccard.representative_links(make(rows), k, percent)
     got = [((r.a, r.b), r.similarity) for r in jaccard.document_links(links, members).collect()]
     assert len(got) == len(want) and dict(got) == pytest.approx(want)
-    members = members.collect()
-    assert len(members) == len(rows) and {r.doc_id: r.n_links for r in members} == {d: n[d] for d, _ in rows}
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in members} == brute(rows, k, percent)
+    for found in (members, jaccard.jaccard_join(make(rows), k, percent)):
+        found = found.collect()
+        assert len(found) == len(rows) and {r.doc_id: r.n_links for r in found} == {d: n[d] for d, _ in rows}
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, k, percent)
     assert max(n.values()) > 3
 
 
+def test_texts_of_one_doc_id_are_one_node(make):
+    rng, words = random.Random(8), [f"w{i}" for i in range(500)]
+    x, y, z = (rng.choices(words, k=100) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (7, " ".join(x)), (9, near(x)), (11, near(y)), (13, " ".join(z)), (15, near(z)), (15, near(z)), (17, "alone")]
+    got = [(r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_join(make(rows, 1), 4, 85).collect()]
+    assert sorted(got) == sorted([(5, 5, 2), (5, 5, 1), (7, 5, 2), (9, 5, 2), (11, 5, 1), (13, 13, 1), (15, 13, 1), (15, 13, 1), (17, 17, 0)])
+    kept = [sorted((r.doc_id, r.text) for r in jaccard.one_of_each(make(rows, n), 4, 85).collect()) for n in (1, 3)]
+    assert kept[0] == kept[1] and [d for d, _ in kept[0]] == [5, 13, 17]
+
+
+def test_dissimilar_copies_of_one_base(make, monkeypatch):
+    """Each is near to the base, few are near to one another; the candidates that leave a list are few."""
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(300), 5):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+    rows.append((300, " ".join(base)))
+    got = jaccard.jaccard_join(make(rows, 6), 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 85)
+    degrees = Counter(d for pair in brute_links(rows, 4, 85) for d in pair)
+    assert {r.doc_id: r.n_links for r in got} == {d: degrees[d] for d, _ in rows}
+    # one cell: every pair is a candidate of another component, at most one fewer than the components leave
+    sets_ = [np.unique(np.random.default_rng(i % 3).integers(0, 1 << 63, 200, dtype=np.uint64)) for i in range(60)]
+    bits = [jaccard._bitmap(s) for s in sets_]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 60), pa.array([0] * 60), pa.array([200] * 60, pa.int32()), pa.array([0] * 60, pa.int32()), pa.array(range(60)), pa.array(bits, pa.binary())], names=list("tcspob"))
+    out = [p for b in jaccard._across(85)(iter([batch])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert len(out) == 57 and all((a - b) % 3 == 0 for a, b in out)
+
+
 def test_join_on_the_smallest_table(spark, small):
     from linkwell.llm.queries import QUERIES
 
@@ -138,7 +174,11 @@ def test_bitmaps_bound_the_difference():
         assert jaccard._differ_at_least(jaccard._bitmap(a), jaccard._bitmap(b)) <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components(spark, monkeypatch, few):
+    from linkwell.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1080)]
     parent = {x: x for e in edges for x in e}
@@ -206,8 +246,10 @@ def key(row):
     return tuple(str(x) for x in row)
 
 
-@pytest.mark.parametrize(("least", "hot", "segment"), [(50, 1000, 1 << 20), (50, 1, 1 << 20), (80, 1000, 256)])
+@pytest.mark.parametrize(("least", "hot", "segment"), [(50, 1000, 1 << 20), (50, 1, 1 << 20), (80, 2, 256)])
 def test_dedup_equals_brute_force(make, monkeypatch, least, hot, segment):
+    monkeypatch.setattr(repeats, "GRAM", 12)
+    monkeypatch.setattr(repeats, "PARTS", 8 if hot == 1 else 3)
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "SEGMENT", segment)
     rows = passages(least + hot, 120)
