@@ -26,7 +26,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     store = sharding.shard(docs)
     rows = store.read(docs.schema)
-    return rows.select("doc_id", F.col(sharding.SHARD).alias("shard"), F.col("lw_rows").alias("shard_rows"), F.col("lw_tier").alias("tier"))
+    shard, n_rows, tier = rows.columns[-3:]
+    return rows.select("doc_id", F.col(shard).alias("shard"), F.col(n_rows).alias("shard_rows"), F.col(tier).alias("tier"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
