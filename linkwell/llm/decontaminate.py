@@ -5,16 +5,19 @@ positions of a span and ignores the others; the hashes of what it picks are join
 benchmark items and documents, so a replaced token in an ignored position does no harm.
 Every hit names a diagonal (document position less item position); along it the tokens are
 compared, and the segment of the highest score (MATCH a token that agrees, MISMATCH one
-that does not) must reach ``least_score``. Exact passages, parts of them and passages with
-replaced tokens are found alike.
+that does not) must reach what the item's length asks: LEAST_SCORE, of short items LEAST_SHARE
+of their tokens, and SPAN matches at least. Exact passages, parts of them and passages with
+replaced tokens are found alike. Items of fewer tokens than a mask spans are found where all of them
+stand in a row; items of fewer than LEAST_TOKENS tokens say nothing and match nothing.
 
 Main path: DataFrame functions only. Seeds of the benchmark are broadcast up to
 BROADCAST_SEEDS rows, counted first; beyond, hits come from a shuffled join of the seeds
 alone and texts are joined to hits.
 
-Defined results: null and empty texts, and items of fewer tokens than a mask's span, match
-nothing; repeated rows are each reported; equal items are reported each; empty tables
-give an empty result. Texts are searched whole.
+Defined results: null and empty texts match nothing; rows and items are told apart by their
+place, so repeated rows, equal items and null ids are each reported; of segments of one score the
+earliest counts; very long texts are searched whole; empty tables give an empty result; extra
+columns are ignored, whatever their names, and kept by ``without_benchmark``.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkwell.llm.runtime import written
+
 MASKS = ("1110110", "1101011")
+SPAN = max(map(len, MASKS))
 MATCH, MISMATCH, LEAST_SCORE = 1, -2, 10
+LEAST_SHARE, LEAST_TOKENS = 0.6, 4
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -32,26 +39,31 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+")
 
 
-def seeds(hashes: Column) -> Column:
+def seeds(hashes: Column, masks: list[str]) -> Column:
     """The hashes of all masks at all positions, mask after mask, from an array of token hashes.
 
     Positions past the end count as null: such seeds hit by chance only, and fail the comparison.
     """
 
-    def of(no: int, mask: str) -> Column:
+    def of(mask: str) -> Column:
         picks = [i for i, c in enumerate(mask) if c == "1"]
-        return F.transform(hashes, lambda x, at: F.xxhash64(F.lit(no), x, *[F.get(hashes, at + i) for i in picks[1:]]))
+        return F.transform(hashes, lambda x, at: F.xxhash64(F.lit(int(mask, 2)), x, *[F.get(hashes, at + i) for i in picks[1:]]))
 
-    return F.concat(*[of(no, mask) for no, mask in enumerate(MASKS)])
+    return F.concat(*[of(mask) for mask in masks])
 
 
-def _seeded(df: DataFrame, keep: list[str]) -> DataFrame:
+def _seeded(df: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
     """``keep``, words and, exploded, (seed, position)."""
     hashed = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
-    exploded = hashed.select(*keep, "words", "n", F.posexplode(seeds(F.col("hashes"))).alias("at", "seed"))
+    exploded = hashed.select(*keep, "words", "n", F.posexplode(seeds(F.col("hashes"), masks)).alias("at", "seed"))
     return exploded.select(*keep, "words", "seed", (F.col("at") % F.col("n")).alias("at"))
 
 
+def least_score(n: Column, score: int = LEAST_SCORE) -> Column:
+    """What a segment of an item of ``n`` tokens must reach: of LEAST_SCORE, and LEAST_SHARE of them, the less."""
+    return F.least(F.lit(score), F.greatest(F.least(n, F.lit(SPAN)), F.ceil(n * LEAST_SHARE))).cast("int")
+
+
 def _best_segment(same: Column) -> Column:
     """(score, start, stop) of the best segment of an array of booleans; the earliest of equals."""
     start = F.struct(
@@ -75,37 +87,45 @@ def _best_segment(same: Column) -> Column:
     return F.aggregate(same, start, step)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCORE) -> DataFrame:
-    """(row_id, doc_id, item_id, doc_token, item_token, n_tokens, n_matched, score): for each
-    row and item that overlap, the best segment. ``row_id`` tells equal doc_ids apart."""
-    span = max(map(len, MASKS))
-    items = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("words"))
-    items = items.where(F.size("words") >= span)
-    item_seeds = _seeded(items, ["item_id"]).where(F.col("at") + span <= F.size("words"))
-    item_seeds = item_seeds.select("seed", "item_id", F.col("at").alias("item_at"), F.size("words").alias("item_n"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", tokens(F.col("text")).alias("words"))
-    found = _seeded(rows, ["row_id", "doc_id"])
+def overlaps(docs: DataFrame, benchmark: DataFrame, score: int = LEAST_SCORE) -> DataFrame:
+    """(row_id, doc_id, text_key, item_no, item_id, doc_token, item_token, n_tokens, n_matched, score): for each
+    row and item that overlap, the best segment. ``row_id`` and ``item_no`` tell equal ids apart;
+    text_key is the hash of the row's text."""
+    words = F.filter(tokens(F.col("text")), lambda w: w != "")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_no"), "item_id", words.alias("words"))
+    items = written(items.where(F.size("words") >= LEAST_TOKENS), "benchmark-items")  # numbers that stay
+    short = [r.n for r in items.where(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect()]  # fewer than SPAN
+    item_seeds = _seeded(items.where(F.size("words") >= SPAN), ["item_no"], list(MASKS)).where(F.col("at") + SPAN <= F.size("words"))
+    for n in sorted(short):
+        item_seeds = item_seeds.unionByName(_seeded(items.where(F.size("words") == n), ["item_no"], ["1" * n]).where("at = 0"))
+    item_seeds = written(item_seeds.select("seed", "item_no", F.col("at").alias("item_at"), F.size("words").alias("item_n")), "benchmark-seeds")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("text_key"), tokens(F.col("text")).alias("words"))
+    found = _seeded(rows, ["row_id", "doc_id", "text_key"], [*MASKS, *("1" * n for n in sorted(short))])
     diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
     # the document's tokens along the diagonal: from that of the item's first token, or the text's first
     low, high = F.greatest(F.col("diagonal"), F.lit(0)), F.col("diagonal") + F.col("item_n")
     along = F.slice("words", low + 1, high - low).alias("along")
     if item_seeds.count() <= BROADCAST_SEEDS:
-        hits = found.join(F.broadcast(item_seeds), "seed").select("row_id", "doc_id", "item_id", diagonal, "item_n", "words")
-        hits = hits.select("row_id", "doc_id", "item_id", "diagonal", along)
+        hits = found.join(F.broadcast(item_seeds), "seed").select("row_id", "doc_id", "text_key", "item_no", diagonal, "item_n", "words")
+        hits = hits.select("row_id", "doc_id", "text_key", "item_no", "diagonal", along)
     else:
-        hits = found.select("row_id", "seed", "at").join(item_seeds, "seed").select("row_id", "item_id", diagonal, "item_n").distinct()
-        hits = hits.join(rows, "row_id").select("row_id", "doc_id", "item_id", "diagonal", along)
-    hits = hits.groupBy("row_id", "item_id", "diagonal").agg(F.first("doc_id").alias("doc_id"), F.first("along").alias("along"))
-    hits = hits.join(items.withColumnRenamed("words", "item"), "item_id")
+        rows = written(rows, "benchmark-rows")  # row ids that stay
+        found = _seeded(rows.select("row_id", "words"), ["row_id"], [*MASKS, *("1" * n for n in sorted(short))])
+        hits = found.select("row_id", "seed", "at").join(item_seeds, "seed").select("row_id", "item_no", diagonal, "item_n").distinct()
+        hits = hits.join(rows, "row_id").select("row_id", "doc_id", "text_key", "item_no", "diagonal", along)
+    hits = hits.groupBy("row_id", "item_no", "diagonal").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "along")])
+    hits = hits.join(items.withColumnRenamed("words", "item"), "item_no")
     skipped = F.greatest(-F.col("diagonal"), F.lit(0))  # item tokens before the text's first
     same = F.transform("along", lambda w, i: F.coalesce(w == F.get("item", i + F.col("skipped")), F.lit(False)))
     hits = hits.withColumn("skipped", skipped.cast("int")).withColumn("same", same)
-    hits = hits.withColumn("best", _best_segment(F.col("same"))).where(F.col("best.score") >= least_score)
+    hits = hits.withColumn("best", _best_segment(F.col("same"))).where(F.col("best.score") >= least_score(F.size("item"), score))
     first = F.greatest(F.col("diagonal"), F.lit(0)) + F.col("best.start")
     matched = F.size(F.filter(F.slice("same", F.col("best.start") + 1, F.col("best.stop") - F.col("best.start")), lambda x: x))
     hits = hits.select(
         "row_id",
         "doc_id",
+        "text_key",
+        "item_no",
         "item_id",
         F.struct(
             F.col("best.score").cast("long").alias("score"),
@@ -116,11 +136,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_score: int = LEAST_SCO
             matched.cast("long").alias("n_matched"),
         ).alias("x"),
     )
-    best = hits.groupBy("row_id", "item_id").agg(F.first("doc_id").alias("doc_id"), F.max("x").alias("x"))
-    return best.select("row_id", "doc_id", "item_id", "x.doc_token", "x.item_token", "x.n_tokens", "x.n_matched", "x.score")
+    best = hits.groupBy("row_id", "item_no").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "item_id")], F.max("x").alias("x"))
+    return best.select("row_id", "doc_id", "text_key", "item_no", "item_id", "x.doc_token", "x.item_token", "x.n_tokens", "x.n_matched", "x.score")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap with an item."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("lw_bad")).distinct().hint("shuffle_hash")
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.lw_bad), "left_anti")
+    """``docs`` without the rows whose text overlaps with an item; others of their doc_id stay."""
+    # written, so that Spark sees its size and shuffles texts only where it is large
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("lw_bad"), F.col("text_key").alias("lw_key")).distinct()
+    bad = written(bad, "benchmark-leaks")
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.lw_bad) & (F.xxhash64(docs.text) == bad.lw_key), "left_anti")

@@ -48,7 +48,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.drop("row_id")
+    return found.drop("row_id", "text_key", "item_no")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
