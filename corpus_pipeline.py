@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwell.llm import decontaminate, jaccard, language, mixing, sharding
-from linkwell.llm.runtime import documents, written
+from linkwell.llm.runtime import discard, documents, free_name, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the committed store, each with its shard."""
+    """The rows of the committed store, each with its shard; columns and repeated rows stay."""
     rows = sharding.shard(docs).read(docs.schema)
-    return rows.select(*docs.columns, F.col(sharding.SHARD).alias("shard"))
+    return rows.select(*docs.columns, F.col(rows.columns[-3]).alias(free_name("shard", docs.columns)))
 
 
 STAGES = [
@@ -48,7 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``documents`` that every stage keeps, as often as the mix takes them, each with its shard.
+
+    Null and empty texts go at the first stage (they have no language), and with them documents
+    without a word; repeated rows and near copies become one row, ties going to the least doc_id; very
+    long texts are taken whole; columns of any names stay; an empty table gives an empty result.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        done, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:
+            discard(done)
+    sharded_rows = STAGES[-1][1](spark, docs, sf_dir)  # of the store
+    discard(docs)
+    return sharded_rows

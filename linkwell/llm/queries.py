@@ -107,7 +107,7 @@ FROM bytes LEFT JOIN kept USING (doc_id)
 
 ORACLE_MIXING = f"""
 WITH docs AS (
-  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS ord, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents
+  SELECT doc_id, source, md5(concat_ws(' ', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS ord, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents
 ), sizes AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
 ), numbered AS (
@@ -121,30 +121,17 @@ WITH docs AS (
   FROM weighed
 ), targets AS (
   SELECT source, source_size, source_no,
-    CAST(least(cap, coalesce(arg_min(level, fills_at) FILTER (level < fills_at) OVER (), 'infinity'::DOUBLE) * weight) AS DOUBLE) AS target,
-    greatest(1, CAST(ceil(total / {mixing.SLOTS}) AS BIGINT)) AS block
+    CAST(least(cap, coalesce(arg_min(level, fills_at) FILTER (level < fills_at) OVER (), 'infinity'::DOUBLE) * weight) AS DOUBLE) AS target
   FROM levels
-), ends AS (
-  SELECT *, coalesce(lag(share_end) OVER (ORDER BY source_no), 0) AS share_start
-  FROM (SELECT *, round(sum(target) OVER () / block) AS n_slots, sum(target) OVER (ORDER BY source_no) / nullif(sum(target) OVER (), 0) AS share_end FROM targets)
-), points AS (
-  SELECT range AS slot, ((range + 1) * {mixing.GOLDEN}::DOUBLE) % 1.0::DOUBLE AS point FROM range({mixing.SLOTS})
-), ranked AS (
-  SELECT source_no, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank
-  FROM points JOIN ends ON point >= share_start AND point < share_end AND target > 0 AND slot < n_slots
 ), placed AS (
-  SELECT doc_id, size, source_no, t.source_size, target, block,
+  SELECT doc_id, size, t.source_size, target,
     coalesce(sum(size) OVER (PARTITION BY source_no ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), spans AS (
-  SELECT doc_id, source_no, size, block, CAST(start + e.range * source_size AS BIGINT) AS start FROM placed, range(2) e WHERE size > 0
-), pieces AS (
-  SELECT *, unnest(range(start // block, (start + size - 1) // block + 1)) AS rank FROM spans
-), taken AS (
-  SELECT doc_id, CAST(sum(least(start + size, (rank + 1) * block) - greatest(start, rank * block)) AS BIGINT) AS taken
-  FROM pieces JOIN ranked USING (source_no, rank) GROUP BY doc_id
+  SELECT *, start + e.range * source_size AS first FROM placed, range(2) e
 )
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (doc_id)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(first + size, CAST(round(target) AS BIGINT)) - first)) AS BIGINT) AS taken
+FROM spans GROUP BY doc_id, size, source_size, target, start
 """
 
 QUERIES = {
