@@ -25,19 +25,19 @@ SPACE = "\\x09-\\x0D\\x20"
 def _decompositions() -> tuple[dict[str, str], dict[str, str], str]:
     """By rule, of all of Unicode: characters whose decomposition without combining marks has letters
     or digits that names are compared by, as one base character or as several; and a class of
-    all combining marks."""
+    all that is marks only."""
     one, several, marks = {}, {}, []
     for code in range(0x80, 0x20000):  # beyond, neither is assigned
         c = chr(code)
         if 0xD800 <= code < 0xE000:
             continue
-        if unicodedata.combining(c):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not base:
             if marks and marks[-1][1] == code - 1:
                 marks[-1][1] = code
             else:
                 marks.append([code, code])
             continue
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if base != c and any(x.isascii() and x.isalnum() for x in base.upper()):
             (one if len(base) == 1 else several)[c] = base
     return one, several, "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in marks)

@@ -17,6 +17,7 @@ def spark():
         .appName("tests")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))  # small tables: compiling takes longer than running
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
