@@ -12,11 +12,18 @@ also starts anywhere else, across all documents.
    threshold-bounded interval expansion: on the Burrows-Wheeler transform of the texts,
    a breadth-first backward extension sets common-prefix lengths by increasing value, and
    stops at ``least``. What has no value by then shares ``least`` bytes with its neighbour.
-4. Anchors of more contexts than HOT are not gathered: their windows' 128-bit hashes are
-   counted instead, with map-side combination.
+4. Anchors of more contexts than HOT are split before: the windows of a context are cut into
+   parts by their distance from the anchor, and all that the windows of a part have in common
+   becomes its anchor. Equal windows stay together; contexts that share less part. What is
+   still large is cut again, down to single windows. A task so searches at most HOT contexts
+   of an anchor at once, however many texts share a passage.
+
+Texts are shuffled for rows that a bit array of fixed size lets through only.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; overlaps and
-self-overlaps count; repeated rows remove each other; texts of any length are taken whole.
+self-overlaps count; repeated rows, with equal or null ids too, remove each other; texts of any
+length are taken whole, in pieces for the search of anchors; there are no ties; an empty table gives
+an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +34,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkwell.llm.filters import id_filter, may_hold, passing
 from linkwell.llm.runtime import discard, release, written
 from linkwell.llm.shingles import buffers, chunks, mixed
 
 GRAM = 64
-HOT = 1000  # contexts of one anchor that are searched in one task
+HOT = 1000  # contexts of one anchor that are searched at once
+PARTS = 8  # into which the windows of larger anchors are cut, again and again
 BATCH = 1 << 20  # bytes searched at once
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -257,35 +266,60 @@ def _anchored(least: int):
     return work
 
 
-def _fetched(least: int, windows: bool):
-    """(doc_id, key, text, wanted array) -> the contexts' texts, or their windows' hashes."""
+BODIES = "doc_id long, key long, start long, lead int, span int, anchor long, n long, body binary"
+
+
+def _bodies(rows: list[tuple]):
     import pyarrow as pa
 
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+    names = [c.split()[0] for c in BODIES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
+
+
+def _fetched(least: int):
+    """(doc_id, key, text, wanted array) -> the contexts with their bytes."""
+
     def work(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            for row, (doc_id, key, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            heads = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            for row, (doc_id, key, wanted) in enumerate(heads):
                 text = data[offsets[row] : offsets[row + 1]]
-                if windows:
-                    for w in wanted:
-                        piece = text[w["start"] : w["start"] + w["span"] + least]
-                        rolling, at = Rolling(piece, _T1, _T2), np.arange(w["span"] + 1)
-                        n = len(at)
-                        cols = [pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(at + w["start"])]
-                        cols += [pa.array(rolling.of(at, at + least, t).view(np.int64)) for t in (0, 1)]
-                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "start", "w0", "w1"])
-                else:
-                    n = len(wanted)
-                    cols = [pa.array([doc_id] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array([w["start"] for w in wanted], pa.int64())]
-                    cols += [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["n"] for w in wanted], pa.int64())]
-                    cols += [pa.array([text[w["start"] : w["start"] + w["span"] + least].tobytes() for w in wanted], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "start", "anchor", "n", "body"])
+                for at in range(0, len(wanted), 1000):
+                    yield _bodies([
+                        (doc_id, key, w["start"], w["lead"], w["span"], w["anchor"], w["n"], text[w["start"] : w["start"] + w["span"] + least].tobytes())
+                        for w in wanted[at : at + 1000]
+                    ])
+
+    return work
+
+
+def _parted(least: int, width: int):
+    """Contexts -> their windows in parts of ``width`` distances from the anchor, each with what
+    all windows of these distances have in common as its anchor."""
+
+    def parts(doc_id, key, start, lead, span, anchor, n, body):
+        for q in range((lead - span) // width, lead // width + 1):
+            far, close = min(lead, q * width + width - 1), max(lead - span, q * width)
+            part = body[lead - far : lead - close + least]
+            common = body[lead - q * width : lead + least - q * width - width + 1]
+            digest = hashlib.blake2b(common, digest_size=8, salt=q.to_bytes(4, "little"), key=anchor.to_bytes(8, "little", signed=True)).digest()
+            yield doc_id, key, start + lead - far, far, far - close, int.from_bytes(digest, "little", signed=True), n, part
+
+    def work(batches):
+        for batch in batches:
+            rows = [p for row in zip(*[c.to_pylist() for c in batch.columns], strict=True) for p in parts(*row)]
+            for at in range(0, len(rows), 1000):
+                yield _bodies(rows[at : at + 1000])
 
     return work
 
 
 def _searched(least: int):
-    """Contexts with text, sorted by anchor -> removed ranges of those that are alone in their kind."""
+    """Contexts with text (doc_id, key, start, anchor, n, body), sorted by anchor -> removed ranges of
+    those that are alone in their kind."""
     import pyarrow as pa
 
     def search(held):
@@ -321,10 +355,16 @@ def _searched(least: int):
     return work
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text, row): hashes of the text, and of both, which all equal rows share."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return keyed.withColumn("row", F.xxhash64("doc_id", "key"))
+
+
 def removed_ranges(docs: DataFrame, least: int = 400) -> DataFrame:
     """(doc_id, key, start, stop): byte ranges to remove, overlapping; key is xxhash64(text)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    anchors = keyed.mapInArrow(_anchored(least), "doc_id long, key long, start long, stop long, lead int, span int, anchor long, context long, times long")
+    keyed = _keyed(docs)
+    anchors = keyed.drop("row").mapInArrow(_anchored(least), "doc_id long, key long, start long, stop long, lead int, span int, anchor long, context long, times long")
     anchors = written(anchors, "repeat-anchors")
     held = anchors.where("anchor IS NOT NULL")
     often = held.groupBy("anchor").agg(F.sum("times").alias("all_times")).where("all_times > 1").select("anchor")
@@ -339,29 +379,55 @@ def removed_ranges(docs: DataFrame, least: int = 400) -> DataFrame:
     ranges = ranges.unionByName(same.select("doc_id", "key", "start", "stop"))
 
     several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(several, "anchor").select("at.*", "anchor", "span", "n", (F.col("kinds") > HOT).alias("hot"))
-    wanted = written(wanted, "repeat-wanted")
+    wanted = kinds.join(several, "anchor").select("at.*", "anchor", "lead", "span", "n", (F.col("kinds") > HOT).alias("hot"))
+    wanted = written(wanted.withColumn("row", F.xxhash64("doc_id", "key")), "repeat-wanted")
+    found = [written(ranges, "repeat-ranges")]
+    discard(shared)
+    release(docs.sparkSession)
 
-    def texts(which: str) -> DataFrame:
-        lists = wanted.where(which).groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "span", "n")).alias("wanted"))
+    def fetched(which: str) -> DataFrame:
+        lists = wanted.where(which).groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "start", "lead", "span", "n")).alias("wanted"))
         lists = lists.withColumnsRenamed({"doc_id": "d", "key": "k"}).hint("shuffle_hash")
         # one row of those with the same doc_id and text
-        rows = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-        return rows.select("doc_id", "key", "text", "wanted")
+        rows = passing(keyed, "row", id_filter(wanted.where(which).select("row")))
+        rows = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+        return rows.select("doc_id", "key", "text", "wanted").mapInArrow(_fetched(least), BODIES)
 
-    bodies = texts("NOT hot").mapInArrow(_fetched(least, False), "doc_id long, key long, start long, anchor long, n long, body binary")
-    bodies = bodies.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "start")
-    partly = bodies.mapInArrow(_searched(least), "doc_id long, key long, start long, stop long")
-    found = written(ranges.unionByName(partly), "repeat-ranges")
-    discard(shared)
-    release(docs.sparkSession)
+    def search(bodies: DataFrame) -> None:
+        bodies = bodies.select("doc_id", "key", "start", "anchor", "n", "body")
+        bodies = bodies.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "start")
+        found.append(written(bodies.mapInArrow(_searched(least), "doc_id long, key long, start long, stop long"), "repeat-partly"))
+        release(docs.sparkSession)
+
+    search(fetched("NOT hot"))
     if not wanted.where("hot").isEmpty():
-        windows = texts("hot").mapInArrow(_fetched(least, True), "doc_id long, key long, start long, w0 long, w1 long")
-        windows = written(windows.distinct(), "repeat-windows")
-        often = windows.groupBy("w0", "w1").agg(F.count("*").alias("times")).where("times > 1").select("w0", "w1")
-        more = windows.join(often, ["w0", "w1"]).select("doc_id", "key", "start", (F.col("start") + least).alias("stop"))
-        found = found.unionByName(written(more, "repeat-hot-ranges"))
-    return found
+        # rows given more than once are fetched more than once
+        hot = written(fetched("hot").dropDuplicates(["doc_id", "key", "start", "anchor"]), "repeat-hot")
+        width = least - min(GRAM, least) + 1
+        while width > 1:
+            width = -(-width // PARTS)
+            parts = written(hot.mapInArrow(_parted(least, width), BODIES).withColumn("context", F.xxhash64("body")), "repeat-parts")
+            discard(hot)
+            kinds = parts.groupBy(*kind).agg(F.count("*").alias("same"), F.max("n").alias("most"), F.min(F.struct("doc_id", "key", "start")).alias("at"))
+            kinds = written(kinds, "repeat-kinds")
+            again = parts.where("n = 1").join(kinds.where("same > 1 OR most > 1").select(*kind), kind, "left_semi")
+            found.append(written(again.select("doc_id", "key", "start", (F.col("start") + F.col("span") + least).alias("stop")), "repeat-whole"))
+            several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+            chosen = kinds.join(several, "anchor").select(*kind, "at", F.greatest("same", "most").alias("times"), "kinds")
+            one = parts.withColumn("at", F.struct("doc_id", "key", "start")).join(chosen, [*kind, "at"])
+            one = written(one.select("doc_id", "key", "start", "lead", "span", "anchor", F.col("times").alias("n"), "body", "kinds"), "repeat-one-of-each")
+            discard(parts, kinds)
+            release(docs.sparkSession)
+            search(one.where(F.col("kinds") <= HOT))
+            hot = one.where(F.col("kinds") > HOT).drop("kinds")
+            hot.lw_path = one.lw_path
+            if hot.isEmpty():
+                break
+        discard(hot)
+    discard(wanted)
+    for more in found[1:]:
+        ranges = more if more is found[1] else ranges.unionByName(more)
+    return ranges.unionByName(found[0])
 
 
 def dedup(docs: DataFrame, least: int = 400, with_text: bool = True) -> DataFrame:
@@ -373,30 +439,40 @@ def dedup(docs: DataFrame, least: int = 400, with_text: bool = True) -> DataFram
 
     ranges = removed_ranges(docs, least)
     lists = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    lists = lists.withColumnsRenamed({"doc_id": "d", "key": "k"}).hint("shuffle_hash")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "ranges")
+    lists = written(lists.withColumnsRenamed({"doc_id": "d", "key": "k"}), "repeat-lists")
+    keyed, array = _keyed(docs), id_filter(lists.select(F.xxhash64("d", "k")))
+    joined = passing(keyed, "row", array).join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    shared = docs.sparkSession.sparkContext.broadcast(array)
+
+    def kept_of(batch, ranges):
+        data, offsets = buffers(batch.column(1))
+        rows = []
+        for row, found in enumerate(ranges):
+            text = data[offsets[row] : offsets[row + 1]]
+            merged: list[list[int]] = []
+            for x in sorted((x["start"], x["stop"]) for x in found or ()):
+                if merged and x[0] <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], x[1])
+                else:
+                    merged.append([*x])
+            keep = np.ones(len(text), bool)
+            for a, b in merged:
+                keep[a:b] = False
+            kept = text[keep].tobytes()
+            rows.append((len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        arrays = [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    def listed(batches):
+        for batch in batches:
+            yield kept_of(batch, batch.column(2).to_pylist())
 
-    def work(batches):
+    def others(batches):  # of which nothing is removed
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            rows = []
-            for row, found in enumerate(batch.column(2).to_pylist()):
-                text = data[offsets[row] : offsets[row + 1]]
-                merged: list[list[int]] = []
-                for x in sorted((x["start"], x["stop"]) for x in found or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    else:
-                        merged.append([*x])
-                keep = np.ones(len(text), bool)
-                for a, b in merged:
-                    keep[a:b] = False
-                kept = text[keep].tobytes()
-                rows.append((len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            arrays = [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+            batch = batch.filter(pa.array(~may_hold(shared.value, batch.column(2).to_numpy())))
+            yield kept_of(batch, [None] * len(batch))
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return joined.select("doc_id", "text", "ranges").mapInArrow(listed, schema).unionByName(keyed.select("doc_id", "text", "row").mapInArrow(others, schema))
