@@ -6,7 +6,12 @@
 
 Defined results: a null or empty file, or one whose boxes are cut short or contradict
 each other, gives null columns (``feature`` "invalid"); files without tracks give an empty
-track list. Work is row by row on whole values; memory is bounded by the largest value.
+track list. A null or empty text is stored as 64 bytes 0; equal texts, of repeated rows too, give equal
+values. Samples are those of the sample tables: a fragmented file (moof boxes) gives the
+tracks of its moov box, without samples if that has none. ``media_columns`` describes the first
+track in columns and all tracks in media_feature; columns of the new names are replaced, extra
+columns stay; an empty table gives an empty result. Work is row by row on whole values, very long
+ones included; memory is bounded by the largest value. There are no ties.
 """
 
 from __future__ import annotations
@@ -115,6 +120,8 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
 
 def _table(data: bytes, body: int, end: int, fmt: str, head: int = 4) -> list[tuple]:
     """The entries of a table box: a count after ``head`` bytes, then entries."""
+    if body + head + 4 > end:
+        raise BadMedia("a table is cut short")
     (n,) = struct.unpack_from(">I", data, body + head)
     at = body + head + 4
     if n * struct.calcsize(fmt) > end - at:
@@ -137,7 +144,11 @@ def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     offsets = [x for (x,) in (_table(data, *boxes[b"stco"], ">I") if b"stco" in boxes else _table(data, *boxes[b"co64"], ">Q"))]
     runs = _table(data, *boxes[b"stsc"], ">III")
     ranges: list[tuple[int, int]] = []
+    if runs and runs[0][0] != 1:
+        raise BadMedia("the first run of chunks is not at chunk 1")
     for (first, per, _), (following, *_) in zip(runs, [*runs[1:], (len(offsets) + 1, 0, 0)], strict=True):
+        if following <= first:
+            raise BadMedia("the runs of chunks do not ascend")
         for chunk in range(first - 1, following - 1):
             if chunk >= len(offsets) or len(ranges) + per > len(sizes):
                 raise BadMedia("the sample tables disagree")
@@ -173,7 +184,7 @@ def probe(data: bytes) -> list[dict]:
             tracks[-1].setdefault(path[-1], (body, end))
     try:
         return [_track(data, boxes) for boxes in tracks]
-    except (KeyError, struct.error) as e:
+    except (KeyError, IndexError, struct.error) as e:
         raise BadMedia(f"a table is missing or cut short: {e}") from e
 
 
