@@ -12,10 +12,16 @@ most and each more is SWITCH times as likely. Benjamini-Hochberg control at ``FD
 within strata of length, over the whole corpus: ranks come from counts of p-values in fine
 bins, so nothing is sorted or gathered. What is rejected as language is a secret.
 
+Candidates that touch base spans are cut around them; what is left of LEAST or more
+characters is tested. Work is in proportion to a text's length, whatever the length of its tokens
+and the number of its matches.
+
 Main path: DataFrame functions only. Positions are code points, ends exclusive.
 
-Defined results: a null text counts as empty and has no spans; repeated rows are each
-scanned; added spans never overlap base spans of the same text.
+Defined results: a null or empty text has no spans; repeated rows are each scanned; very long texts and
+tokens are taken whole; an empty table gives an empty result; added spans never overlap base
+spans of the same text; equal p-values are all rejected or none; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -40,22 +46,40 @@ FDR = 0.01
 SWITCH = 0.2
 PASS_Z = 3.29  # two-sided one in a thousand, for each of the tests
 BINS_A_DECADE, DECADES = 100, 16
-
-
-def _placed(text: Column, pattern: str, matches: Column) -> Column:
-    """[(start, stop, match)] of all ``matches`` of ``pattern`` in ``text``."""
-    between = F.split(text, pattern, -1)
+BLOCK = 256  # matches placed together
+WIDE = 1024  # code points; spans that overlap share such a stretch
+
+
+def _with_places(rows: DataFrame, name: str, pattern: str) -> DataFrame:
+    """``rows`` with ``name``: [(start, stop, body)] of all matches of ``pattern`` in ``text``.
+
+    Lengths are summed over blocks of BLOCK matches, then within each block: an array is not
+    copied for each of its elements.
+    """
+    matches, between = F.col("lw_matches"), F.col("lw_between")
+    rows = rows.withColumn("lw_matches", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    rows = rows.withColumn("lw_between", F.when(F.size(matches) > 0, F.split("text", pattern, -1)))
+    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(F.length(b).alias("gap"), F.length(m).alias("n"), m.alias("body")))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
+    rows = rows.withColumn("lw_pairs", F.when(F.size(matches) > 0, pairs))
+    # named twice, so that the array is not made anew for each block
+    rows = rows.withColumn("lw_blocks", F.when(F.size("lw_pairs") > 0, F.transform(numbers, lambda b: F.slice("lw_pairs", b * BLOCK + 1, F.lit(BLOCK)))))
+    bounds = F.array().cast("array<int>")
+
+    def block_starts(a: Column, block: Column) -> Column:
+        width = F.aggregate(block, F.lit(0), lambda w, x: w + x["gap"] + x["n"])
+        return F.struct((a["at"] + width).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    starts = F.aggregate("lw_blocks", F.struct(F.lit(0).alias("at"), bounds.alias("out")), block_starts)["out"]
     empty = F.array().cast("array<struct<start:int,stop:int,body:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         first = a["at"] + x["gap"]
-        last = first + F.length(x["body"])
-        one = F.array(F.struct(first.alias("start"), last.alias("stop"), x["body"].alias("body")))
-        return F.struct(last.alias("at"), F.concat(a["out"], one).alias("out"))
+        one = F.array(F.struct(first.alias("start"), (first + x["n"]).alias("stop"), x["body"].alias("body")))
+        return F.struct((first + x["n"]).alias("at"), F.concat(a["out"], one).alias("out"))
 
-    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(F.length(b).alias("gap"), m.alias("body")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+    placed = F.flatten(F.zip_with("lw_blocks", starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step)["out"]))
+    return rows.withColumn(name, F.coalesce(placed, empty)).drop("lw_matches", "lw_between", "lw_pairs", "lw_blocks")
 
 
 def _spans(placed: Column, kind: str, order: int) -> Column:
@@ -91,7 +115,9 @@ def _battery(c: DataFrame) -> DataFrame:
     c = c.withColumn("chars", F.split("core", "(?!^)"))
     c = c.withColumn("values", F.transform("chars", lambda x: F.instr(F.col("alphabet"), x).cast("double") - (F.col("k") + 1) / 2))
     zero = F.lit(0.0)
-    squares = F.aggregate("chars", zero, lambda a, x: a + F.length("core") - F.length(F.replace(F.col("core"), x)))
+    # of each symbol of the alphabet, the square of its count
+    times = lambda x: F.length("core") - F.length(F.replace(F.col("core"), x))
+    squares = F.aggregate(F.split("alphabet", "(?!^)"), zero, lambda a, x: a + F.pow(times(x), F.lit(2)))
     c = c.withColumn("squares", squares).withColumn("x", F.col("k") / F.col("n") * F.col("squares") - F.col("n"))
     above = F.size(F.filter("values", lambda v: v > 0)).cast("double")
     pairs = F.transform("values", lambda v, i: F.struct(v.alias("v"), F.get("values", i + 1).alias("w")))
@@ -115,26 +141,46 @@ def _battery(c: DataFrame) -> DataFrame:
     )
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """(row_id, start, stop, body): the candidates of ``rows``, cut around base spans, of LEAST or more characters.
+
+    Candidates and base spans meet by the stretches of WIDE code points that they touch.
+    """
+    stretch = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / WIDE), F.floor((F.col(b) - 1) / WIDE)))
+    alone = rows.where("size(base) = 0 AND size(candidates) > 0").select("row_id", F.inline("candidates"))
+    both = rows.where("size(base) > 0 AND size(candidates) > 0")
+    runs = both.select("row_id", F.inline("candidates"))
+    spans = both.select(F.col("row_id").alias("of"), F.inline(F.transform("base", lambda x: F.struct(x["start"].alias("low"), x["stop"].alias("high")))))
+    near = runs.select("row_id", "start", "stop", stretch("start", "stop").alias("at")).join(
+        spans.select("of", "low", "high", stretch("low", "high").alias("in")), (F.col("row_id") == F.col("of")) & (F.col("at") == F.col("in"))
+    )
+    near = near.where("low < stop AND start < high").select("row_id", "start", "stop", "low", "high").distinct()
+    earlier = Window.partitionBy("row_id", "start").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    after = F.greatest(F.col("start"), F.coalesce(F.max("high").over(earlier), F.col("start")))
+    before = near.select("row_id", "start", after.alias("low"), F.col("low").alias("high"))
+    last = near.groupBy("row_id", "start", "stop").agg(F.max("high").alias("low")).select("row_id", "start", "low", F.col("stop").alias("high"))
+    left = before.unionByName(last).where(F.col("high") - F.col("low") >= LEAST)
+    pieces = runs.join(left, ["row_id", "start"]).select(
+        "row_id", F.col("low").alias("start"), F.col("high").alias("stop"), F.substring("body", F.col("low") - F.col("start") + 1, F.col("high") - F.col("low")).alias("body")
+    )
+    whole = runs.join(near.select("row_id", "start").distinct(), ["row_id", "start"], "left_anti").select("row_id", "start", "stop", "body")
+    return alone.unionByName(whole).unionByName(pieces)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, base, added): spans as arrays of (start, ord, stop, kind), one row per row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text.alias("text"))
-    rows = rows.withColumn("m_assign", F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(0)))
-    rows = rows.withColumn("v_assign", F.when(F.size("m_assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>")))
-    for name, pattern in (("access", ACCESS), ("hex", HEX), ("candidate", CANDIDATE)):
-        rows = rows.withColumn(f"m_{name}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    assign = _placed(F.col("text"), ASSIGN, F.col("m_assign"))
-    assign = F.filter(assign, lambda x, i: F.length(F.get("v_assign", i)) >= 6)
-    base = F.concat(
-        _spans(assign, "assign", 0),
-        _spans(_placed(F.col("text"), ACCESS, F.col("m_access")), "access", 1),
-        _spans(_placed(F.col("text"), HEX, F.col("m_hex")), "hex", 2),
-    )
-    rows = rows.withColumn("base", base).withColumn("candidates", _placed(F.col("text"), CANDIDATE, F.col("m_candidate")))
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    rows = written(rows.select("row_id", "doc_id", "base", free.alias("candidates")), "secret-rows")
-
-    tested = _battery(rows.where(F.size("candidates") > 0).select("row_id", F.inline("candidates")))
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidates", CANDIDATE)):
+        rows = _with_places(rows, name, pattern)
+    # a match ends with group 2
+    values = F.when(F.size("assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)))
+    long = F.zip_with("assign", values, lambda x, v: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), (F.length(v) >= 6).alias("long")))
+    assign = F.coalesce(F.filter(long, lambda x: x["long"]), F.array().cast("array<struct<start:int,stop:int,long:boolean>>"))
+    base = F.concat(_spans(assign, "assign", 0), _spans(F.col("access"), "access", 1), _spans(F.col("hex"), "hex", 2))
+    rows = written(rows.select("row_id", "doc_id", base.alias("base"), "candidates"), "secret-rows")
+
+    tested = _battery(_cut(rows))
     # what all words together say about language: the chance that two characters agree, and three
     words = F.when(F.col("wordlike"), F.col("squares") - F.col("n"))
     pairs = F.when(F.col("wordlike"), F.col("n") * (F.col("n") - 1))
