@@ -4,17 +4,21 @@ Features are indicators of hashed n-grams: runs of 1 to 4 bytes, words, and, as
 repetition, a word after itself and a line that came before. Log-count ratios of the two
 classes are counted over all labelled training rows; they scale the indicators, on which a
 linear hinge-loss model is fitted by dual coordinate descent. The fit, and a logistic
-curve from margins to scores, take a bounded sample: SAMPLE labelled rows at most, in the
-order of a hash of their ids.
+curve from margins to scores, take a bounded sample: of each class SAMPLE / 2 labelled rows at most,
+in the order of a hash of their ids, and of these as many as together have MOST_FEATURES / 2
+indicators at most. The curve weighs classes as all labelled rows have them.
 
 Defined results: null and empty texts have no indicators and score by the bias; without
-labelled rows, or with one class only, every score is the smoothed share of class 1.
+labelled rows, or with one class only, every score is the smoothed share of class 1; of several
+labels of a doc_id the larger counts, null labels do not; repeated rows score alike; a tie (score
+0.5) is predicted 1; very long texts are taken whole; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkwell.llm.folds import held_out, learnable, sampled
@@ -23,6 +27,7 @@ from linkwell.llm.shingles import buffers, chunks, word_hashes
 
 BITS = 17
 SAMPLE = 6000
+MOST_FEATURES = 20_000_000  # 80 MB
 CALIBRATE = 4  # every so many sample rows calibrate scores
 PENALTY = 1.0
 EPOCHS = 30
@@ -95,8 +100,9 @@ def _sampled(batches):
 
     for batch in batches:
         data, offsets = buffers(batch.column(1))
-        found = [x.astype(np.int32).tobytes() for x in indicators(data, offsets)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
+        for i, x in enumerate(indicators(data, offsets)):
+            one = [batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([len(x)], pa.int64()), pa.array([x.astype(np.int32).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, names=["doc_id", "label", "n", "features"])
 
 
 def log_count_ratios(counts0: np.ndarray, counts1: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -130,16 +136,19 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w, bias
 
 
-def logistic_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """(a, b) of 1 / (1 + exp(-(a margin + b))) by Newton steps on smoothed labels."""
+def logistic_curve(margins: np.ndarray, labels: np.ndarray, share: float | None = None) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(-(a margin + b))) by Newton steps on smoothed labels; ``share`` is that of
+    label 1 among all rows, if the given ones are not a plain sample."""
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    share = n1 / len(labels) if share is None else share
+    weight = np.where(labels == 1, share * len(labels) / max(n1, 1), (1 - share) * len(labels) / max(n0, 1))
     a, b = 1.0, 0.0
     x = np.stack([margins, np.ones(len(margins))])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -40, 40)))
-        g = x @ (p - target) + np.array([1e-3 * a, 0])
-        h = (x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
+        g = x @ (weight * (p - target)) + np.array([1e-3 * a, 0])
+        h = (x * (weight * p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-8:
@@ -160,21 +169,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     if not n0 or not n1:
         return {"prior": prior}
     ratios = log_count_ratios(found[0][1], found[1][1])
-    chosen = sampled(rows, "doc_id", SAMPLE, F.lit(n0 + n1)).withColumn("ord", F.md5(F.col("doc_id").cast("string"))).orderBy("ord", "doc_id").limit(SAMPLE)
-    sample = chosen.select("doc_id", "text", "lw_label").mapInArrow(_sampled, "doc_id long, label int, features binary")
-    sample = sorted(((r.doc_id, r.label, np.frombuffer(bytes(r.features), np.int32)) for r in sample.toLocalIterator()), key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1]))
+    here = F.when(F.col("lw_label") == 1, F.lit(n1)).otherwise(F.lit(n0))
+    chosen = sampled(rows, "doc_id", SAMPLE // 2, here).dropDuplicates(["doc_id", "text"])
+    first = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("features"))
+    features = chosen.select("doc_id", "text", "lw_label").mapInArrow(_sampled, "doc_id long, label int, n long, features binary")
+    features = features.withColumn("no", F.row_number().over(first)).withColumn("so_far", F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, 0)))
+    few = features.where((F.col("no") <= SAMPLE // 2) & (F.col("so_far") <= MOST_FEATURES // 2)).select("doc_id", "label", "features")
+    sample = sorted(((r.doc_id, r.label, np.frombuffer(bytes(r.features), np.int32)) for r in few.toLocalIterator()), key=lambda r: (r[0] * 2654435761 % (1 << 32), r[0], r[1], r[2].tobytes()))
     values = []
     for _, _, f in sample:
         v = ratios[f]
         values.append(v / max(np.sqrt(v @ v), 1e-9))
     y = np.array([2 * r[1] - 1 for r in sample])
-    fitting = np.arange(len(sample)) % CALIBRATE != 0
+    # of each class its every so many row calibrates, but its first
+    fitting = np.ones(len(sample), bool)
+    for label in (-1, 1):
+        of = np.flatnonzero(y == label)
+        fitting[of[CALIBRATE - 1 :: CALIBRATE]] = False
     if min((y[fitting] > 0).sum(), (y[fitting] < 0).sum()) == 0:
         return {"prior": prior}
     at = np.flatnonzero(fitting)
     w, bias = dual_coordinate_descent([sample[i][2] for i in at], [values[i] for i in at], y[at], 1 << BITS)
     margins = np.array([float(w[sample[i][2]] @ values[i]) + bias for i in np.flatnonzero(~fitting)])
-    a, b = logistic_curve(margins, (y[~fitting] > 0).astype(float))
+    a, b = logistic_curve(margins, (y[~fitting] > 0).astype(float), prior) if len(margins) else (1.0, float(np.log(prior / (1 - prior))))
     return {"prior": prior, "ratios": ratios.astype(np.float32), "weights": (w * ratios).astype(np.float32), "bias": bias, "curve": (a, b)}
 
 
