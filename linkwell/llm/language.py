@@ -8,7 +8,10 @@ most DOCS labelled documents, in the order of a hash of their ids, and WINDOWS w
 each, spread over the whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any
-labelled row every text is; repeated rows score alike; null labels are not learned from.
+labelled row every text is; repeated rows score alike, and are one row to the sample; null labels
+are not learned from; of languages of one probability the first by name counts; very long texts are
+read whole; an empty table gives an empty result; extra columns are ignored, whatever their
+names, and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -185,13 +188,14 @@ def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
     labelled = docs.where(learnable() & F.col("lang").isNotNull())
     sizes = labelled.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("of_rows"))  # a row a language
-    few = labelled.select("doc_id", "lang").join(F.broadcast(sizes), F.col("lang") == F.col("of_lang"))
-    few = sampled(few, "doc_id", DOCS, F.col("of_rows"))
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = few.select("doc_id", "lang").withColumn("no", F.row_number().over(order)).where(F.col("no") <= DOCS)
+    key = F.xxhash64("text")
+    few = labelled.select("doc_id", "lang", key.alias("key")).join(F.broadcast(sizes), F.col("lang") == F.col("of_lang"))
+    few = sampled(few, "doc_id", DOCS, F.col("of_rows")).select("doc_id", "lang", "key").distinct()
+    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "key")
+    chosen = few.withColumn("no", F.row_number().over(order)).where(F.col("no") <= DOCS)
     # DOCS rows a language at most
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).distinct())
-    texts = labelled.join(chosen, (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")))
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), F.col("key").alias("s_key")))
+    texts = labelled.join(chosen, (F.col("doc_id") == F.col("s_id")) & (F.col("lang") == F.col("s_lang")) & (key == F.col("s_key")))
 
     def work(batches):
         for batch in batches:
@@ -205,7 +209,7 @@ def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
                 )
 
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(work, "doc_id long, no long, lang string, window binary")
-    found = sorted((r.lang, r.doc_id, r.no, bytes(r.window)) for r in rows.toLocalIterator())
+    found = sorted((r.lang, r.doc_id, r.no, bytes(r.window)) for r in rows.distinct().toLocalIterator())  # WINDOWS a chosen row at most
     languages = sorted({r[0] for r in found})
     windows = np.frombuffer(b"".join(r[3] for r in found), np.uint8).reshape(-1, WINDOW)
     return windows, np.array([languages.index(r[0]) for r in found], np.int64), languages
