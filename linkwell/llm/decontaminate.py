@@ -10,7 +10,8 @@ of their tokens, and SPAN matches at least. Exact passages, parts of them and pa
 replaced tokens are found alike. Items of fewer tokens than a mask spans are found where all of them
 stand in a row; items of fewer than LEAST_TOKENS tokens say nothing and match nothing.
 
-Main path: DataFrame functions only. Seeds of the benchmark are broadcast up to
+Main path: DataFrame functions only. A constant bit array drops most seeds that no item has before
+they become rows; it only saves work. Seeds of the benchmark are broadcast up to
 BROADCAST_SEEDS rows, counted first; beyond, hits come from a shuffled join of the seeds
 alone and texts are joined to hits.
 
@@ -32,6 +33,7 @@ SPAN = max(map(len, MASKS))
 MATCH, MISMATCH, LEAST_SCORE = 1, -2, 10
 LEAST_SHARE, LEAST_TOKENS = 0.6, 4
 BROADCAST_SEEDS = 1_000_000
+FILTER_BITS = 17
 
 
 def tokens(text: Column) -> Column:
@@ -40,23 +42,39 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(hashes: Column, masks: list[str]) -> Column:
-    """The hashes of all masks at all positions, mask after mask, from an array of token hashes.
+    """[(at, seed)]: the hashes of all masks at all positions, mask after mask, from an array of token hashes.
 
     Positions past the end count as null: such seeds hit by chance only, and fail the comparison.
     """
 
     def of(mask: str) -> Column:
         picks = [i for i, c in enumerate(mask) if c == "1"]
-        return F.transform(hashes, lambda x, at: F.xxhash64(F.lit(int(mask, 2)), x, *[F.get(hashes, at + i) for i in picks[1:]]))
+        seed = lambda x, at: F.xxhash64(F.lit(int(mask, 2)), x, *[F.get(hashes, at + i) for i in picks[1:]])
+        return F.transform(hashes, lambda x, at: F.struct(at.alias("at"), seed(x, at).alias("seed")))
 
     return F.concat(*[of(mask) for mask in masks])
 
 
-def _seeded(df: DataFrame, keep: list[str], masks: list[str]) -> DataFrame:
-    """``keep``, words and, exploded, (seed, position)."""
-    hashed = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("n", F.size("words"))
-    exploded = hashed.select(*keep, "words", "n", F.posexplode(seeds(F.col("hashes"), masks)).alias("at", "seed"))
-    return exploded.select(*keep, "words", "seed", (F.col("at") % F.col("n")).alias("at"))
+def _place(seed: Column) -> Column:
+    return seed.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+
+
+def _filter_of(item_seeds: DataFrame) -> Column:
+    """A bit array of fixed size, as a constant array of 32 bits each, with the places of all seeds."""
+    words = [0] * (1 << FILTER_BITS - 5)
+    for r in item_seeds.select(_place(F.col("seed")).cast("int").alias("p")).distinct().toLocalIterator():  # 2^FILTER_BITS at most
+        words[r.p >> 5] |= 1 << (r.p & 31)
+    return F.expr("array(" + ",".join(f"{w}L" for w in words) + ")")
+
+
+def _seeded(df: DataFrame, keep: list[str], masks: list[str], array: Column | None = None) -> DataFrame:
+    """``keep``, words and, exploded, (seed, at); of a filter ``array`` only seeds that it may hold."""
+    hashed = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    every = seeds(F.col("hashes"), masks)
+    if array is not None:
+        held = lambda p: F.getbit(F.element_at(array, (F.shiftright(p, 5) + 1).cast("int")), p.bitwiseAND(31).cast("int")) == 1
+        every = F.filter(every, lambda x: held(_place(x["seed"])))
+    return hashed.select(*keep, "words", F.inline(every))
 
 
 def least_score(n: Column, score: int = LEAST_SCORE) -> Column:
@@ -100,7 +118,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, score: int = LEAST_SCORE) ->
         item_seeds = item_seeds.unionByName(_seeded(items.where(F.size("words") == n), ["item_no"], ["1" * n]).where("at = 0"))
     item_seeds = written(item_seeds.select("seed", "item_no", F.col("at").alias("item_at"), F.size("words").alias("item_n")), "benchmark-seeds")
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("text_key"), tokens(F.col("text")).alias("words"))
-    found = _seeded(rows, ["row_id", "doc_id", "text_key"], [*MASKS, *("1" * n for n in sorted(short))])
+    masks, array = [*MASKS, *("1" * n for n in sorted(short))], _filter_of(item_seeds)
+    found = _seeded(rows, ["row_id", "doc_id", "text_key"], masks, array)
     diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
     # the document's tokens along the diagonal: from that of the item's first token, or the text's first
     low, high = F.greatest(F.col("diagonal"), F.lit(0)), F.col("diagonal") + F.col("item_n")
@@ -110,7 +129,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, score: int = LEAST_SCORE) ->
         hits = hits.select("row_id", "doc_id", "text_key", "item_no", "diagonal", along)
     else:
         rows = written(rows, "benchmark-rows")  # row ids that stay
-        found = _seeded(rows.select("row_id", "words"), ["row_id"], [*MASKS, *("1" * n for n in sorted(short))])
+        found = _seeded(rows.select("row_id", "words"), ["row_id"], masks, array)
         hits = found.select("row_id", "seed", "at").join(item_seeds, "seed").select("row_id", "item_no", diagonal, "item_n").distinct()
         hits = hits.join(rows, "row_id").select("row_id", "doc_id", "text_key", "item_no", "diagonal", along)
     hits = hits.groupBy("row_id", "item_no", "diagonal").agg(*[F.first(c).alias(c) for c in ("doc_id", "text_key", "along")])
