@@ -6,26 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwell.llm import decontaminate, jaccard, language, mixing, sharding
-from linkwell.llm.runtime import discard, documents, free_name, written
+from linkwell.llm.runtime import discard, documents, free_name, scratch, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those of no clear language, go."""
+    """Documents without a letter, null and empty ones among them, and those of no clear language, go.
+
+    Repeated rows stay or go together, very long texts are read whole, other columns stay as they are.
+    """
     return language.accepted(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id."""
+    """One document of each group of near copies stays: that of the smallest doc_id.
+
+    Texts without words are near to none; rows without doc_id stay; of rows of one doc_id one stays, the same
+    in any order of rows; ties there are none but equal rows, of which one stays. Other columns stay.
+    """
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go.
+
+    Rows are told apart by doc_id and text: others of a doc_id stay, repeated rows go together. Null texts and
+    items, and items of fewer than 4 tokens, overlap with nothing. Other columns stay.
+    """
     return decontaminate.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: never, once or twice."""
+    """Documents as often as the mix takes them: never, once or twice.
+
+    Texts without words are never taken; a null source is a source; of rows equal in all columns as many come as the
+    mix takes of them together. Other columns stay, whatever their names.
+    """
     return mixing.mixed_documents(docs)
 
 
@@ -56,7 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        done, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            done, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs.lw_path)
         if name != STAGES[0][0]:
             discard(done)
     sharded_rows = STAGES[-1][1](spark, docs, sf_dir)  # of the store

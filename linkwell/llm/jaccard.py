@@ -528,6 +528,7 @@ class _Joined:
         discard(across, labels)
         release(spark)
 
+    # members() deletes the tables of all steps: it comes last
     def within(self, every: bool, listed: bool = False) -> DataFrame:
         """What ``_within`` gives of the groups of several components, and with ``every`` of all
         groups but those of two sets whose link is verified."""
@@ -545,7 +546,7 @@ class _Joined:
         sets = sets.repartition("grp", "cell").sortWithinPartitions("grp", "cell", "n", "node")
         schema = "a long, b long, shared int, joint int" if listed else "a long, b long, there long"
         among = written(sets.mapInArrow(_within(self.percent, listed), schema), "jaccard-within")
-        self.chosen = chosen
+        self.chosen, self.among = chosen, among
         release(self.docs.sparkSession)
         return among
 
@@ -575,7 +576,7 @@ class _Joined:
             labels = labels.withColumn("n_links", F.col("here") - 1 + F.coalesce("there", F.lit(0)))
         labels = labels.select("sig", F.col("node").alias("class_id"), F.coalesce("component_id", "least").alias("component_id"), *["n_links"] * (there is not None))
         labels = written(labels, "jaccard-classes-labelled")
-        discard(several)
+        discard(several, found, self.found, self.classes, self.links, self.nodes, self.chosen, self.among)
         release(self.docs.sparkSession)
         known = F.col("doc_id").isNotNull()
         return self.info.join(labels, "sig", "left").select(
@@ -637,7 +638,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     once = found.distinct().hint("shuffle_hash")
     kept = docs.join(once, docs.doc_id == once.lw_kept, "left_semi")
     if found.count() > once.count():  # rows given more than once
-        kept = kept.withColumn("lw_hash_of_row", F.xxhash64(*docs.columns))
-        least = kept.groupBy(F.col("doc_id").alias("lw_id")).agg(F.min("lw_hash_of_row").alias("lw_least"))
-        kept = kept.join(least, (F.col("doc_id") == F.col("lw_id")) & (F.col("lw_hash_of_row") == F.col("lw_least"))).select(*docs.columns).dropDuplicates(["doc_id"])
+        rows = kept.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("h"))
+        least = rows.groupBy(F.col("id").alias("of")).agg(F.min("h").alias("least"))
+        rows = rows.join(least, (F.col("id") == F.col("of")) & (F.col("h") == F.col("least")))
+        kept = rows.dropDuplicates(["id"]).select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -186,7 +186,7 @@ def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, labels and languages of the bounded training sample."""
     import pyarrow as pa
 
-    labelled = docs.where(learnable() & F.col("lang").isNotNull())
+    labelled = docs.select("doc_id", "text", "lang").where(learnable() & F.col("lang").isNotNull())
     sizes = labelled.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("of_rows"))  # a row a language
     key = F.xxhash64("text")
     few = labelled.select("doc_id", "lang", key.alias("key")).join(F.broadcast(sizes), F.col("lang") == F.col("of_lang"))

@@ -148,6 +148,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs: int =
         "row_id", "row_key", "doc_id", "size", "source_size", "source_no", "target", "words", "least", "longer", (F.col("base") + F.col("before")).alias("start")
     )
     placed = written(placed, "mix-placed")
+    discard(rows, per_bucket, targets, cut)
 
     epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
     spans = placed.where("size > 0").select("*", epochs)

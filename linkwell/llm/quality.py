@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """The model of ``labels[label]`` from the texts of the training fold."""
     known = labels.where(F.col(label).isin(0, 1) & learnable()).groupBy("doc_id").agg(F.max(label).cast("int").alias("lw_label"))
     known = known.withColumnRenamed("doc_id", "lw_id").hint("shuffle_hash")
-    rows = docs.where(learnable()).join(known, F.col("doc_id") == F.col("lw_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lw_label")
+    rows = docs.select("doc_id", "text").where(learnable()).join(known, F.col("doc_id") == F.col("lw_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lw_label")
     rows = written(rows, "quality-labelled")
     parts = rows.mapInArrow(_counted, "label int, n long, counts binary").repartition("label").mapInArrow(_summed, "label int, n long, counts binary")
     found = {r.label: (r.n, np.frombuffer(bytes(r.counts), np.int64)) for r in parts.toLocalIterator()}

@@ -427,7 +427,9 @@ def removed_ranges(docs: DataFrame, least: int = 400) -> DataFrame:
     discard(wanted)
     for more in found[1:]:
         ranges = more if more is found[1] else ranges.unionByName(more)
-    return ranges.unionByName(found[0])
+    ranges = ranges.unionByName(found[0])
+    ranges.lw_tables = found
+    return ranges
 
 
 def dedup(docs: DataFrame, least: int = 400, with_text: bool = True) -> DataFrame:
@@ -440,6 +442,7 @@ def dedup(docs: DataFrame, least: int = 400, with_text: bool = True) -> DataFram
     ranges = removed_ranges(docs, least)
     lists = ranges.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     lists = written(lists.withColumnsRenamed({"doc_id": "d", "key": "k"}), "repeat-lists")
+    discard(*ranges.lw_tables)
     keyed, array = _keyed(docs), id_filter(lists.select(F.xxhash64("d", "k")))
     joined = passing(keyed, "row", array).join(lists.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     shared = docs.sparkSession.sparkContext.broadcast(array)

@@ -19,6 +19,7 @@ from linkwell.sources.names import spread
 
 _local: dict[str, str] = {}
 _released = 0.0
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/linkwell/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_dir(spark)}/linkwell/{uuid.uuid4().hex}-{name}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at the end, all tables that were written meanwhile but those in the list that it gives."""
+    made: list[str] = []
+    keep: list[str] = []
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for path in set(made) - set(keep):
+            drop_path(spark, path)
 
 
 @contextlib.contextmanager

@@ -1,13 +1,17 @@
 """Language ID, quality and licence models: gradients, solvers, held-out accuracy, defined results."""
 
+import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from linkwell.llm import language, licences, quality
 from linkwell.llm.queries import QUERIES
+from linkwell.llm.shingles import word_hashes
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -78,6 +82,50 @@ def test_language_of_awkward_rows(awkward, make):
     assert language.accepted(make([(2, "some words")])).count() == 0
 
 
+def naive_position_scores(model, window):
+    """The network at every position of one window, a byte at a time."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h, out = language.HIDDEN, np.zeros((len(window), len(model["languages"]))) + model["bias"][:, 0]
+    for side in "fb":
+        state = np.zeros(h)
+        for t in range(len(window)) if side == "f" else reversed(range(len(window))):
+            x, s = model[f"{side}_in"][:, window[t]].astype(float), model[f"{side}_state"] @ state
+            z, r = sig(x[:h] + s[:h]), sig(x[h : 2 * h] + s[h : 2 * h])
+            new = np.tanh(x[2 * h :] + r * (s[2 * h :] + model[f"{side}_new"][:, 0]))
+            state = z * state + (1 - z) * new
+            out[t] += model[f"{side}_out"] @ state
+    e = np.exp(out - out.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def test_language_query_equals_brute_force(spark, small):
+    docs = sorted((r.doc_id, r.text or "", r.lang) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    languages = sorted({lang for _, _, lang in docs if lang})
+    windows, labels = [], []
+    for lang in languages:
+        for d, text, own in docs:
+            raw = text.encode()
+            if own == lang and fold(d) != 1 and raw:
+                n = -(-len(raw) // 64)
+                for i in sorted({int(x) for x in np.linspace(0, n - 1, 6)}):
+                    windows.append(np.frombuffer(raw[64 * i : 64 * i + 64].ljust(64, b"\0"), np.uint8))
+                    labels.append(languages.index(lang))
+    model = language.train(np.array(windows), np.array(labels), languages)
+    got = {r.doc_id: r for r in QUERIES["op5_language_id"](spark, small).collect()}
+    assert len(got) == len(docs)
+    for d, text, _ in docs[::3]:
+        raw, total = text.encode(), np.zeros(len(languages))
+        for at in range(0, len(raw), 64):
+            window = raw[at : at + 64].ljust(64, b"\0")
+            p = naive_position_scores(model, list(window))
+            total += p[[bool(language._LETTER[b]) for b in window]].sum(axis=0)
+        if any(c.isalpha() for c in text):
+            p = total / total.sum()
+            assert got[d].lang_pred == languages[p.argmax()] and abs(got[d].score - p.max()) < 1e-3
+        else:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+
+
 def test_hinge_loss_is_least():
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((60, 5)), np.where(rng.random(60) < 0.5, -1, 1)
@@ -117,6 +165,66 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([(s >= 0.5) == q for s, q in held]) > 0.97
 
 
+def naive_indicators(text):
+    mask, bits, out = (1 << 64) - 1, quality.BITS, set()
+    mixes = [int(x) for x in quality._MIX]
+    raw = text.encode()
+    for n in range(1, 5):
+        for i in range(len(raw) - n + 1):
+            h = 0
+            for b in raw[i : i + n]:
+                h = (h * 257 + b + 1) & mask
+            out.add((h * mixes[n - 1] & mask) >> 64 - bits)
+    words, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    words = words.tolist()
+    out |= {(w * mixes[0] & mask) >> 64 - bits for w in words}
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    extra = [32 + (len(lines) - len(set(lines))).bit_length()]
+    extra += [sum(a == b for a, b in itertools.pairwise(words)).bit_length()] if words else []
+    out |= {(x + 1) * 2654435761 % (1 << bits) for x in extra}
+    return sorted(out) if raw else []
+
+
+def test_quality_query_equals_brute_force(spark, small):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.quality is not None}
+    found = {d: np.array(naive_indicators(t), np.int64) for d, t in docs.items()}
+    known = sorted((d for d in docs if d in labels and fold(d) != 1), key=lambda d: (d * 2654435761 % (1 << 32), d))
+    counts = np.zeros((2, 1 << quality.BITS))
+    for d in known:
+        counts[labels[d]][found[d]] += 1
+    ratios = np.log((counts[1] + 1) / (counts[1] + 1).sum()) - np.log((counts[0] + 1) / (counts[0] + 1).sum())
+    value = lambda d: ratios[found[d]] / max(np.sqrt((ratios[found[d]] ** 2).sum()), 1e-9)
+    nth, fitting, held = Counter(), [], []
+    for d in known:
+        nth[labels[d]] += 1
+        (held if nth[labels[d]] % quality.CALIBRATE == 0 else fitting).append(d)
+    y = np.array([2 * labels[d] - 1 for d in fitting])
+    w, bias = quality.dual_coordinate_descent([found[d] for d in fitting], [value(d) for d in fitting], y, 1 << quality.BITS)
+    n1 = sum(labels[d] for d in known)
+    a, b = quality.logistic_curve(np.array([w[found[d]] @ value(d) + bias for d in held]), np.array([labels[d] for d in held], float), (n1 + 1) / (len(known) + 2))
+    got = {r.doc_id: r for r in QUERIES["op2_quality_classifier"](spark, small).collect()}
+    assert got.keys() == docs.keys()
+    for d, r in got.items():
+        want = 1 / (1 + math.exp(-max(-40, min(40, a * (w[found[d]] @ value(d) + bias) + b))))
+        assert abs(r.score - want) < 1e-3 and r.held_out == (fold(d) == 1)
+
+
+def test_rare_class_keeps_its_classifier(make, spark, monkeypatch):
+    """Samples are drawn per class, and within a bound of features."""
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    monkeypatch.setattr(quality, "MOST_FEATURES", 40_000)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["buy", "now", "cheap"] if i % 50 == 0 else ["calm", "river", "stone"], k=20))) for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 50 != 0), 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    got = quality.score(make(rows), quality.fit(make(rows), labels)).collect()
+    assert np.mean([r.predicted == (r.doc_id % 50 != 0) for r in got if r.held_out]) > 0.98
+    assert np.mean([r.predicted == 0 for r in got if r.held_out and r.doc_id % 50 == 0]) > 0.9
+    tied = quality.score(make([(1, "same words"), (2, "same words")]), {"prior": 0.5}).collect()
+    assert {(r.score, r.predicted) for r in tied} == {(0.5, 1)}
+    assert quality.fit(make([]), labels.limit(0)) == {"prior": 0.5}
+
+
 def test_quality_of_awkward_rows(spark, awkward, make):
     labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0), (4, 1, 1), (5, None, 0), (7, 0, 0), (7, 0, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.score(awkward, quality.fit(awkward, labels)).collect()
@@ -148,6 +256,35 @@ def test_licences_are_found_and_confirmed(make):
     assert all(r.confirmed and 0.6 <= r.probability <= 1 for r in got.values())
 
 
+def test_wrapped_notices_are_found(make):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files."
+    gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General Public License."
+    rows = [(1, f"# about\n\n{mit}\n\nplain words"), (2, f"first line\n{gpl}\nlast line"), (3, "Released under the MIT License.\nAll rights reserved.\nplain")]
+    got = {(r.doc_id, r.paragraph, r.n_lines, r.family) for r in licences.scan(make(rows)).collect() if r.confirmed}
+    assert {(1, 2, "MIT"), (2, 1, "GPL-3.0"), (3, 0, "MIT"), (3, 1, "proprietary")} == {(d, p, f) for d, p, _, f in got}
+    assert {(1, 3), (3, 1)} <= {(d, n) for d, _, n, _ in got}
+
+
+def test_scan_equals_brute_force(spark):
+    """Each line of a whole table, scored one by one."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").limit(300)
+    model = licences.train(licences.sample_lines(docs))
+    at = {g: i for i, g in enumerate(model["vocabulary"])}
+    want = {}
+    for r in docs.collect():
+        for i, line in enumerate((r.text or "").split("\n")):
+            grams = licences.grams(line)
+            of = [at[g] for g in grams if g in at]
+            z = model["weights"][of].sum(axis=0) + model["weights"][-1]
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            family = model["families"][p.argmax()]
+            if of and p.argmax() and round(p.max(), 6) >= licences.LEAST_PROBABILITY:
+                share = max(len(set(licences.pairs_of(t)) & set(grams)) / len(licences.pairs_of(t)) for t in licences.TEMPLATES[family])
+                want[r.doc_id, i] = (family, round(p.max(), 4), round(share, 4))
+    got = {(r.doc_id, r.paragraph): (r.family, round(r.probability, 4), round(r.similarity, 4)) for r in licences.scan(docs, model).collect() if r.n_lines == 1}
+    assert got and got == want
+
+
 def test_every_licence_line_of_a_table_is_found(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()
     known = {t for texts in licences.TEMPLATES.values() for t in texts}
@@ -157,6 +294,13 @@ def test_every_licence_line_of_a_table_is_found(spark):
     assert all(r.confirmed for r in got)
 
 
+def test_long_lines_and_ties(make):
+    long = "plain words of prose " * 100_000 + "Released under the MIT License."
+    rows = [(1, long), (2, f"{long}\nAll rights reserved."), (3, "All rights reserved.\nAll rights reserved.")]
+    got = sorted((r.doc_id, r.paragraph, r.n_lines, r.family) for r in licences.scan(make(rows)).collect())
+    assert got == [(1, 0, 1, "MIT"), (2, 0, 1, "MIT"), (2, 1, 1, "proprietary"), (3, 0, 1, "proprietary"), (3, 1, 1, "proprietary")]
+
+
 def test_licences_of_awkward_rows(awkward, make):
     assert licences.scan(awkward).count() == 0
     assert licences.scan(make([])).count() == 0

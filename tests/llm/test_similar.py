@@ -265,6 +265,32 @@ def test_dedup_on_the_smallest_table(spark, small):
     assert sorted(got, key=key) == sorted(removed(rows, 400), key=key)
 
 
+def test_dedup_of_a_larger_table_equals_counting(spark):
+    """Every window of 400 bytes of all texts, by another hash: far more than one search holds."""
+    import xxhash
+    from linkwell.llm.queries import QUERIES
+
+    docs = {r.doc_id: (r.text or "").encode() for r in documents(spark, "/root/testdata/sf0.1").collect()}
+    assert sum(map(len, docs.values())) > 16 * repeats.BATCH
+    hashes, starts = [], [0]
+    for b in docs.values():
+        hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(b[i : i + 400]) for i in range(max(0, len(b) - 399))), np.uint64))
+        starts.append(starts[-1] + len(hashes[-1]))
+    every = np.concatenate(hashes)
+    ordered = np.sort(every)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    twice = again[np.minimum(np.searchsorted(again, every), len(again) - 1)] == every
+    got = {r.doc_id: r for r in QUERIES["op7_suffix_array_dedup"](spark, "/root/testdata/sf0.1").collect()}
+    assert got.keys() == docs.keys()
+    for (d, b), x, y in zip(docs.items(), starts, starts[1:], strict=False):
+        keep = np.ones(len(b), bool)
+        for i, j in repeats.runs(twice[x:y]):
+            keep[i : j + 399] = False
+        kept = np.frombuffer(b, np.uint8)[keep].tobytes()
+        assert (got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(b) - len(kept), len(repeats.runs(~keep)), hashlib.sha256(kept).hexdigest())
+    assert sum(r.n_removed > 0 for r in got.values()) > 1000
+
+
 def test_dedup_of_awkward_rows(awkward, make):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     got = repeats.dedup(awkward).collect()
