@@ -202,6 +202,8 @@ def sample_windows(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
             data, offsets = buffers(batch.column(1))
             for row, (doc_id, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 windows, _ = cut(data[offsets[row] : offsets[row + 1]], np.array([0, offsets[row + 1] - offsets[row]]))
+                if not len(windows):  # an empty text
+                    continue
                 pick = np.unique(np.linspace(0, len(windows) - 1, WINDOWS).astype(int))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc_id] * len(pick), pa.int64()), pa.array(pick), pa.array([lang] * len(pick)), pa.array([windows[i].tobytes() for i in pick], pa.binary())],
