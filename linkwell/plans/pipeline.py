@@ -22,11 +22,23 @@ class Linkage:
     spark: SparkSession
     clean: DataFrame  # (idx, name)
     config: LinkageConfig = DEFAULT
+    noisy: DataFrame | None = None  # (idx, name, fuzzy_name, error_type, is_noisy); by default made from the clean names
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, config: LinkageConfig = DEFAULT) -> Linkage:
         return cls(spark, names.document_names(spark.read.parquet(f"{sf_dir}/documents.parquet")), config)
 
+    @classmethod
+    def of_files(cls, spark: SparkSession, clean: str, fuzzy: str, config: LinkageConfig = DEFAULT) -> Linkage:
+        """Two CSV files of names, row by row, their first ``config.row_limit`` rows (0: all)."""
+        a = names.read_names(spark, clean, "full_name_romanised", config.row_limit)
+        rows = names.limited(names.positioned(names.read_csv(spark, fuzzy)), config.row_limit)
+        if a.count() != rows.count():
+            raise ValueError("both files must have as many rows")
+        told = [F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("error_type", "string"), ("is_noisy", "boolean"))]
+        b = rows.select("idx", F.coalesce("fuzzy_name", F.lit("")).alias("fuzzy_name"), *told)
+        return cls(spark, a, config, a.join(b, "idx"))
+
     @cached_property
     def n(self) -> int:
         """Records of the larger party, blank names included; sets how much of a vector a mask holds."""
@@ -38,7 +50,7 @@ class Linkage:
 
     @property
     def fuzzy(self) -> DataFrame:
-        return synth.mutate(self.clean, self.config)
+        return synth.mutate(self.clean, self.config) if self.noisy is None else self.noisy
 
     @property
     def records(self) -> DataFrame:

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from linkwell.config import DEFAULT
+from linkwell.config import DEFAULT, LinkageConfig
 from linkwell.functions import encode
 from linkwell.operators import blocking, evaluate, synth, verify
 from linkwell.plans import registry
@@ -284,3 +284,20 @@ def test_times_of_rounds(linkage):
     rows = linkage.timed(rounds=2).collect()
     counts = {r.round: r.n_matches for r in verify.round_matches(linkage.meetings, linkage.matches).collect()}
     assert [(r.round, r.n_matches) for r in rows] == [(0, counts[0]), (1, counts[1])] and all(r.seconds > 0 for r in rows)
+
+
+def test_linkage_of_files(spark, tmp_path, linkage):
+    rows = linkage.fuzzy.orderBy("idx").collect()
+    quote = lambda x: '"' + x.replace('"', '""') + '"'
+    (tmp_path / "clean.csv").write_text("record_id,full_name_romanised\n" + "".join(f"N{i},{quote(r.name)}\n" for i, r in enumerate(rows)))
+    (tmp_path / "fuzzy.csv").write_text("fuzzy_name,error_type,is_noisy\n" + "".join(f"{quote(r.fuzzy_name)},{r.error_type},{r.is_noisy}\n" for r in rows))
+    paths = str(tmp_path / "clean.csv"), str(tmp_path / "fuzzy.csv")
+    files = Linkage.of_files(spark, *paths)
+    at = {i: r.idx for i, r in enumerate(rows)}
+    assert files.n == len(rows) and files.masks == linkage.masks
+    assert [(at[r.idx], r.name, r.fuzzy_name, r.error_type, r.is_noisy) for r in files.fuzzy.orderBy("idx").collect()] == [tuple(r) for r in rows]
+    few = Linkage.of_files(spark, *paths, LinkageConfig(row_limit=50))
+    assert few.n == 50 and few.matches.agg(F.max("a_idx")).first()[0] < 50
+    (tmp_path / "short.csv").write_text("fuzzy_name\nA\n")
+    with pytest.raises(ValueError, match="as many rows"):
+        Linkage.of_files(spark, paths[0], str(tmp_path / "short.csv"))
