@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkwell.config import DEFAULT, LinkageConfig
 from linkwell.functions.normalize import normalize, sorted_unique, tail_tokens, tokenize
+from linkwell.functions.words64 import let
 
 ALPHABET = "^$ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 #: Fixed values of the 64-bit string hash that published distances were made with.
@@ -190,11 +191,38 @@ def signed_words(chunks: Column) -> Column:
 
 
 def pack_bytes(bits: Column, length: int) -> Column:
-    """Bytes, least significant bit first."""
-    byte = lambda c: F.aggregate(F.filter(bits, lambda b: F.shiftright(b, 3) == c), F.lit(0), lambda a, b: a + F.pow(F.lit(2), b % 8).cast("int"))
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(-(-length // 8) - 1)), lambda c: F.lpad(F.hex(byte(c)), 2, "0")), ""))
+    """Bytes, least significant bit first; work is in proportion to the set bits."""
+    size = -(-length // 8)
+    at = lambda b: F.shiftright(b, 3)
+    zeros = lambda n: F.repeat(F.lit("00"), n.cast("int"))
+
+    def hexed(bits: Column) -> Column:
+        def piece(b: Column, i: Column) -> Column:
+            """The first bit of a byte writes it, with the zero bytes since the last one."""
+            before = F.coalesce(at(F.get(bits, i - 1)), F.lit(-1))
+            mine = F.filter(F.slice(bits, i + 1, F.lit(8)), lambda x: at(x) == at(b))
+            byte = F.aggregate(mine, F.lit(0), lambda a, x: a + F.pow(F.lit(2), x % 8).cast("int"))
+            return F.when(before < at(b), F.concat(zeros(at(b) - before - 1), F.lpad(F.hex(byte), 2, "0"))).otherwise("")
+
+        last = F.coalesce(at(F.get(bits, F.size(bits) - 1)), F.lit(-1))
+        return F.concat(F.array_join(F.transform(bits, piece), ""), zeros(size - 1 - last))
+
+    return F.unhex(let(F.filter(bits, lambda b: b < size * 8), hexed))
 
 
 def unpack_bytes(packed: Column, length: int) -> Column:
-    digit = lambda i: F.conv(F.substring(F.hex(packed), (F.floor(i / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.getbit(digit(i), i % 8) == 1), lambda i: i.cast("long"))
+    """The set positions; bytes of zeros are passed over."""
+    eight = F.sequence(F.lit(0), F.lit(7))
+
+    def positions(body: Column) -> Column:
+        byte = lambda c: F.substring(body, c + 1, F.lit(1))
+        some = F.filter(F.sequence(F.lit(0), F.lit(-(-length // 8) - 1)), lambda c: byte(c) != F.unhex(F.lit("00")))
+
+        def places(c: Column) -> Column:
+            value = F.conv(F.hex(byte(c)), 16, 10).cast("int")
+            return let(value, lambda v: F.transform(F.filter(eight, lambda i: F.getbit(v, i) == 1), lambda i: (c * 8 + i).cast("long")))
+
+        return F.flatten(F.transform(some, places))
+
+    # a column's bytes are copied whenever they are read, those of a lambda's variable are not
+    return F.filter(let(packed, positions), lambda b: b < length)

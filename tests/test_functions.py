@@ -1,3 +1,6 @@
+import random
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pytest
@@ -153,3 +156,16 @@ def test_marks_of_all_of_unicode(spark):
     got = {r.i: r.s for r in df.collect()}
     for i, s in rows:
         assert key(got[i]) == key(plain(s)), i
+
+
+def test_packing_takes_time_in_proportion(spark):
+    length, kind = 300_004, "array<bigint>"
+    bits = [[], [0], [7, 8], [300_003], sorted(random.Random(1).sample(range(length), 300)), list(range(64))]
+    began = time.perf_counter()
+    assert column(spark, bits, lambda c: encode.unpack_bytes(encode.pack_bytes(c, length), length), kind) == bits
+    assert time.perf_counter() - began < 60
+    for n in (1, 8, 12, 64):
+        want = [bytes(sum(1 << k for k in range(8) if 8 * c + k in v) for c in range(-(-n // 8))) for v in bits]
+        packed = column(spark, bits, lambda c, n=n: encode.pack_bytes(c, n), kind)
+        assert list(map(bytes, packed)) == want
+        assert column(spark, want, lambda c, n=n: encode.unpack_bytes(c, n), "binary") == [[b for b in v if b < n] for v in bits]
