@@ -4,7 +4,7 @@ import corpus_pipeline
 import duckdb
 from pyspark.sql import functions as F
 
-from linkwell.llm import jaccard, language, mixing
+from linkwell.llm import jaccard, language, mixing, runtime
 from linkwell.llm.runtime import documents, written
 from tests.llm.test_scans import brute_overlaps
 from tests.llm.test_similar import brute
@@ -55,3 +55,22 @@ def test_run_on_awkward_tables(spark, awkward, tmp_path):
     got.write.parquet(str(tmp_path / "out"))
     nothing = corpus_pipeline.run(spark, str(tmp_path / "none"))
     assert nothing.columns == got.columns and nothing.count() == 0
+
+
+def test_stages_give_memory_back(spark, monkeypatch):
+    """Within a stage every table that is written gives the driver's freed memory back, steps of seconds apart."""
+    assert runtime.trim(spark)
+    seen = []
+    monkeypatch.setattr(runtime, "trim", seen.append)
+    monkeypatch.setattr(runtime, "_released", float("-inf"))
+    rows = spark.range(3)
+    runtime.discard(written(rows, "test-alone"))
+    assert not seen
+    with runtime.scratch(spark):
+        assert written(rows, "test-first").count() == 3
+        assert len(seen) == 1
+        written(rows, "test-at-once")
+        assert len(seen) == 1
+        monkeypatch.setattr(runtime, "_released", float("-inf"))
+        written(rows, "test-later")
+        assert len(seen) == 2
